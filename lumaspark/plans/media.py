@@ -1,4 +1,9 @@
-"""Queries of the media operators."""
+"""All queries of the media operators."""
+
+from . import pixels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _m in (pixels,):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
