@@ -78,16 +78,14 @@ def to_bytes(text: str, codec: str) -> bytes | None:
             return text.encode(codec)
         except UnicodeEncodeError:
             return None
+    if not all(ch in table or codec == "cp1252" and ch < "Ā" for ch in set(text) if ch >= "\x80"):
+        return None
     out = bytearray()
     for ch in text:
         if ch < "\x80":
             out.append(ord(ch))
-        elif ch in table:
-            out.append(table[ch])
-        elif codec == "cp1252" and ch < "Ā":
-            out.append(ord(ch))
         else:
-            return None
+            out.append(table.get(ch) or ord(ch))
     return bytes(out)
 
 
@@ -159,6 +157,8 @@ class PairModel:
         grid = self.kinds.reshape(KINDS, KINDS) + 0.01
         share = grid / grid.sum()
         self.kind_information = np.log(share / np.outer(share.sum(axis=1), share.sum(axis=0)))
+        self.words: dict[str, bool] = {}
+        self.repairs: dict[tuple, tuple] = {}
         self.total = max(float(self.chars.sum()), 1.0)
         self.floor = 1e-7 * self.total
         self.kappa = 2e-5 * self.total
@@ -185,6 +185,25 @@ class PairModel:
         kind = kind_table()
         return np.minimum(each, self.kind_information[kind[a], kind[b]] + LEVEL)
 
+    def improbability(self, text: str) -> np.ndarray:
+        """Score of each pair of the text between two spaces: positive where it is improbable."""
+        codes = self.codes(f" {text} ")
+        score = LEVEL - self.information(codes)
+        wide = codes >= 128
+        return np.where(wide[:-1] | wide[1:], score, np.minimum(score, -0.5))
+
+    def doubtful(self, word: str) -> bool:
+        """Whether a word holds an improbable pair. A segment begins and ends with such pairs, so a
+        text without doubtful words has no segment. Words repeat far more than texts do."""
+        if word.isascii():
+            return False
+        known = self.words.get(word)
+        if known is None:
+            if len(self.words) > 300_000:
+                self.words.clear()
+            known = self.words[word] = bool((self.improbability(word) > 0).any())
+        return known
+
     def likelihood(self, text: str) -> float:
         """Log-likelihood of a text's characters, each given the one before."""
         codes = self.codes(text)
@@ -224,10 +243,9 @@ def runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     The plain space after an improbable character belongs to its run only through the words around
     it; a run of neighbouring words is one run, since a wrong reading goes on over spaces.
     """
-    codes = PairModel.codes(f" {text} ")
-    score = LEVEL - model.information(codes)
-    wide = codes >= 128
-    score = np.where(wide[:-1] | wide[1:], score, np.minimum(score, -0.5))
+    if not any(model.doubtful(w) for w in text.split(" ")):
+        return []
+    score = model.improbability(text)
     marked = np.zeros(len(text), dtype=bool)
     for start, end in segments(score):
         marked[max(0, start - 1) : end] = True
@@ -292,12 +310,18 @@ def _best(text: str, a: int, b: int, model: PairModel, known: frozenset[str] = f
     before, after = (text[a - 1 : a] or " "), (text[b : b + 1] or " ")
     run = text[a:b]
     flat = after == " " and b < len(text) and _FLATTENED.search(run[-1:] + after)
+    key = (before, run, after, bool(flat), known)
+    if key in model.repairs:
+        return model.repairs[key]
     as_is = model.likelihood(before + run + after)
     best, name, top = None, "", 0.0
     for new, how in inverses(run + "\xa0" if flat else run):
         worth = model.likelihood(before + new + after) - as_is - (margin(how) - AGAIN if how in known else margin(how))
         if worth > top:
             best, name, top = new, how, worth
+    if len(model.repairs) > 200_000:
+        model.repairs.clear()
+    model.repairs[key] = best, name, top
     return best, name, top
 
 
