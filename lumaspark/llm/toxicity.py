@@ -137,11 +137,14 @@ def fit(posts: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on (text, share of votes for abusive); deterministic for the same posts in any order.
 
     Which sentence of an abusive post is the abusive one is settled by models that haven't seen the
-    post; a vote that such a model finds far off in either direction is taken for a slip.
+    post; a vote that such a model finds far off in either direction is taken for a slip. Without any
+    votes every post scores 0.
     """
     fold = Transducer()
     posts = sorted((t, y) for t, y in posts if t and y != 0.5)
     data = [(stretches(t, fold), y) for t, y in posts]
+    if not data:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -35.0
     part_of = np.random.default_rng(7).integers(0, FOLDS, len(data))
     use: list[list[int]] = [list(range(len(parts))) for parts, _ in data]
 
