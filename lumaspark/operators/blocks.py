@@ -43,18 +43,24 @@ def _round(x: np.ndarray) -> np.ndarray:
 _WAVES = np.array([[0.5 * tables.alpha(k) * tables.cosine(n, k) for k in range(8)] for n in range(8)])
 
 
+def _spread(blocks: np.ndarray, known: pd.Series) -> pd.Series:
+    """Blocks at the places of the known rows, None elsewhere."""
+    done = iter(blocks.reshape(-1, 64))
+    return pd.Series([next(done) if k else None for k in known], dtype="object")
+
+
 def _fdct(series: pd.Series) -> pd.Series:
     known = series.notna()
     s = _matrix(series[known]).reshape(-1, 8, 8) - 128.0
     c = np.clip(_round(np.einsum("bij,jk->bik", np.einsum("bij,ik->bkj", s, _WAVES), _WAVES)), -32768, 32767).astype(np.int32)
-    return pd.Series(list(c.reshape(-1, 64)), index=series.index[known]).reindex(series.index)
+    return _spread(c, known)
 
 
 def _idct(series: pd.Series) -> pd.Series:
     known = series.notna()
     c = _matrix(series[known]).reshape(-1, 8, 8)
     s = np.clip(_round(np.einsum("bij,kj->bik", np.einsum("bij,ki->bkj", c, _WAVES), _WAVES)) + 128, 0, 255).astype(np.int32)
-    return pd.Series(list(s.reshape(-1, 64)), index=series.index[known]).reindex(series.index)
+    return _spread(s, known)
 
 
 def fdct(block: Column) -> Column:
