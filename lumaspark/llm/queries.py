@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, table
+from ..session import checkpointed, spread, table
 from .canonical import has_sign, map_values
 from .leakage import find_leaks
 from .lookalike import consistent
@@ -92,12 +92,12 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a post and a test item it leaks."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+    return find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the number of posts that leak it and the longest stretch leaked."""
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    leaks = find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item"))
     per = leaks.groupBy("item_id").agg(F.count("*").alias("n_posts"), F.max("n_words").alias("most_words"))
     items = table(spark, sf_dir, "eval_item").select("item_id", "topic").distinct()
     return items.join(F.broadcast(per), "item_id", "left").fillna(0, ["n_posts", "most_words"])
@@ -120,7 +120,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return score_posts(documents.select("doc_id", "source", "text"), "text", fit_on(documents, table(spark, sf_dir, "post_rating"))).drop("text")
+    return score_posts(spread(documents.select("doc_id", "source", "text")), "text", fit_on(documents, table(spark, sf_dir, "post_rating"))).drop("text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
