@@ -36,26 +36,29 @@ def byte_table() -> list[tuple[int, int, int]]:
 
 def encode(data: bytes, table: dict[int, tuple[int, int]]) -> bytes:
     """Codes of all bytes, the last byte filled up with zeros."""
-    text = "".join(format(table[b][0], f"0{table[b][1]}b") for b in data)
+    codes = {s: format(c, f"0{n}b") for s, (c, n) in table.items()}
+    text = "".join([codes[b] for b in data])
     text += "0" * (-len(text) % 8)
     return int(text, 2).to_bytes(len(text) // 8, "big") if text else b""
 
 
-def decode(data: bytes, n: int, table: dict[tuple[int, int], int]) -> bytes:
+def decode(data: bytes, n: int, codes: tuple[tuple[int, int, int], ...]) -> bytes:
     """The first ``n`` symbols; a code that the table doesn't have is an error."""
-    bits, at, out = "".join(f"{b:08b}" for b in data), 0, bytearray()
-    longest = max((s for s, _ in table), default=0)
-    while len(out) < n:
-        for size in range(1, longest + 1):
-            if at + size > len(bits):
-                raise EOFError
-            symbol = table.get((size, int(bits[at : at + size], 2)))
-            if symbol is not None:
-                break
-        else:
+    symbols, sizes = tables.lookup(codes)
+    out, held, have, at = bytearray(n), 0, 0, 0
+    padded = data + b"\0\0"
+    for k in range(n):
+        while have < 16 and at < len(padded):
+            held = (held << 8 | padded[at]) & 0xFFFFFFFF
+            have, at = have + 8, at + 1
+        window = (held >> (have - 16) if have >= 16 else held << (16 - have)) & 0xFFFF
+        size = sizes[window]
+        if not size:
             raise ValueError("invalid code")
-        out.append(symbol)
-        at += size
+        have -= size
+        if at * 8 - have > 8 * len(data):
+            raise EOFError
+        out[k] = symbols[window]
     return bytes(out)
 
 
@@ -67,5 +70,5 @@ def encode_column(data: Column) -> Column:
 
 def decode_column(data: Column, n: Column) -> Column:
     """``n`` bytes decoded with the byte table; null gives null."""
-    symbols = {(n, c): s for s, c, n in byte_table()}
-    return F.pandas_udf(lambda s, k: pd.Series([None if b is None else decode(bytes(b), int(m), symbols) for b, m in zip(s, k)], dtype="object"), "binary")(data, n)
+    codes = tuple(byte_table())
+    return F.pandas_udf(lambda s, k: pd.Series([None if b is None else decode(bytes(b), int(m), codes) for b, m in zip(s, k)], dtype="object"), "binary")(data, n)

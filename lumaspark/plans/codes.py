@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, tables
 from ..operators import blocks as B
 from ..operators import huffman as H
-from ..session import table
+from ..session import spread, table
 from .pixels import _LEVEL, levels
 
 
@@ -101,7 +101,7 @@ def huffman_encode_len(spark: SparkSession, d: str) -> DataFrame:
 
 def huffman_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Texts encoded and decoded again."""
-    t = _text_bytes(spark, d).where("b is not null").withColumn("e", H.encode_column(F.col("b")))
+    t = spread(_text_bytes(spark, d)).where("b is not null").withColumn("e", H.encode_column(F.col("b")))
     return t.select("doc_id", F.length("b").alias("n_bytes"), (H.decode_column(F.col("e"), F.length("b")) == F.col("b")).alias("same"))
 
 

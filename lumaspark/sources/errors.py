@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from typing import Any
 
@@ -25,7 +26,7 @@ def attempt(parse: Callable[..., Any], *args: Any) -> tuple[Any, str | None]:
         return parse(*args), None
     except MediaError as e:
         return None, str(e)
-    except (IndexError, EOFError):
+    except (IndexError, EOFError, struct.error):
         return None, "unexpected_end"
     except Exception as e:  # noqa: BLE001 - one broken file must not end the job
         return None, f"invalid_data: {type(e).__name__}"

@@ -62,7 +62,11 @@ def test_hello():
     codes = {"H": (0, 2), "e": (1, 2), "l": (2, 2), "o": (6, 3)}
     table = {ord(k): v for k, v in codes.items()}
     assert H.encode(b"Hello", table).hex() == "1ac0"
-    assert H.decode(bytes.fromhex("1ac0"), 5, {(n, c): s for s, (c, n) in table.items()}) == b"Hello"
+    assert H.decode(bytes.fromhex("1ac0"), 5, tuple((s, c, n) for s, (c, n) in table.items())) == b"Hello"
+    with pytest.raises(EOFError):
+        H.decode(bytes.fromhex("1ac0"), 9, tuple((s, c, n) for s, (c, n) in table.items()))
+    with pytest.raises(ValueError, match="code"):
+        H.decode(b"\xff", 1, tuple((s, c, n) for s, (c, n) in table.items()))
 
 
 def test_huffman_round_trip(spark):
