@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How far a weight leans over the run: 0 keeps it flat, 1 lets it start from or end at nothing.
 TILT = 0.5
-#: Buckets that the copies of one source are summed in before they are placed.
-BUCKETS = 512
+#: Copies of one source that are placed by one task at most, on average. Buckets follow from it.
+IN_BUCKET = 50_000
 
 
 @lru_cache(maxsize=2)
@@ -82,7 +82,7 @@ def with_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return documents.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("source", "text")).alias("d")).select("doc_id", F.col("d.source").alias("source"), token_count(path)(F.col("d.text")).alias("n_tokens"))
 
 
-def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, in_bucket: int = IN_BUCKET) -> DataFrame:
     """(doc_id, source, copy, n_tokens, position, token_start): the mix in training order.
 
     Documents of sources without a target, of a null source or without tokens are left out, as the
@@ -91,7 +91,9 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, bucket
     turn, the sums of the few buckets are accumulated, and documents only within their bucket.
     """
     known = counted.where("source is not null and n_tokens > 0")
-    sizes = {r["source"]: int(r["n"]) for r in known.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(targets.select("source")), "source", "left_semi").collect()}
+    found = known.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).join(F.broadcast(targets.select("source")), "source", "left_semi").collect()
+    sizes = {r["source"]: int(r["n"]) for r in found}
+    buckets = 16 + max((r["docs"] for r in found), default=0) // in_bucket
     steps = plan(sizes, [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").distinct().collect()], total)
     spark = counted.sparkSession
     given = spark.createDataFrame([(s["source"], float(s["want"]), float(s["lean"]), math.ceil(s["want"] / s["size"])) for s in steps], "source string, want double, lean double, turns int")
@@ -99,7 +101,7 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, bucket
         known.join(F.broadcast(given), "source")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("turns"))))
         .withColumn("draw", F.xxhash64("doc_id", "copy"))
-        .withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(buckets).cast("long")).cast("int"))
     )
     sums = copies.groupBy("source", "copy", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     turn = Window.partitionBy("source").orderBy("copy", "bucket").rowsBetween(Window.unboundedPreceding, -1)

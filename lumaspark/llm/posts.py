@@ -26,11 +26,34 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(unmarked(text).casefold())
 
 
-_QUOTE = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
-_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n\s*\n|\n[-_*=~]{2,}[ \t]*(?=\n|$)|^--? ?$", re.M)
+_QUOTE = re.compile(r"^[ \t]*(?:[>|»][ \t]?)+")
+_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
+_RULE = re.compile(r"[-_*=~]{2,}")
+#: A line is taken for wrapped if the next word would have made it longer than this.
+WRAP = 60
 
 
 def sentences_of(text: str) -> list[str]:
-    """Sentences of a post, quoted ones too; lines a mailer has wrapped are joined again."""
-    plain = _QUOTE.sub("", unmarked(text))
-    return [" ".join(s.split()) for s in _END.split(plain) if s and not s.isspace()]
+    """Sentences of a post, quoted ones too.
+
+    A line ends a sentence unless a mailer has wrapped it, which shows by the next line's first word
+    not having had room on it.
+    """
+    out: list[str] = []
+    open_, length = "", 0
+    for raw in unmarked(text).split("\n"):
+        line = _QUOTE.sub("", raw).strip()
+        if not line or _RULE.fullmatch(line):
+            if open_:
+                out.append(open_)
+            open_ = ""
+            continue
+        first = line.split(None, 1)[0]
+        if open_ and length + 1 + len(first) <= WRAP:
+            out.append(open_)
+            open_ = ""
+        open_ = f"{open_} {line}" if open_ else line
+        length = len(raw.rstrip())
+    if open_:
+        out.append(open_)
+    return [" ".join(s.split()) for part in out for s in _END.split(part) if s and not s.isspace()]

@@ -25,7 +25,7 @@ BITS = 18
 #: Posts at most used for fitting, taken by a hash of their ids; all votes on them count.
 FIT_POSTS = 6000
 #: Words of a stretch that is scored as one; longer sentences are scored in overlapping stretches.
-STRETCH = 40
+STRETCH = 16
 #: FTRL-proximal: rate, smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.4, 0.05
 #: Times the labels inside abusive posts are settled anew, and passes over the data for each.
@@ -34,7 +34,7 @@ SETTLE, PASSES = 3, 3
 #: vote is taken for a slip.
 FOLDS, SLIP_LOW, SLIP_HIGH = 4, -3.0, 2.5
 #: A post scored at least this is reported.
-THRESHOLD = 0.18
+THRESHOLD = 0.15
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 _JOIN = re.compile(r"[ .\-_*]")
@@ -184,7 +184,8 @@ def labelled(documents: DataFrame, ratings: DataFrame, fit_posts: int = FIT_POST
 
 def fit_on(documents: DataFrame, ratings: DataFrame, fit_posts: int = FIT_POSTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on at most ``fit_posts`` rated posts; the driver gets no more than those."""
-    return fit([(r["text"], r["share"]) for r in labelled(documents, ratings, fit_posts).toLocalIterator()])
+    rows = labelled(documents, ratings, fit_posts).select("text", "share").repartition(8)
+    return fit([(r["text"], r["share"]) for r in rows.toLocalIterator()])
 
 
 def make_scorer(df: DataFrame, weights: tuple[np.ndarray, np.ndarray, float]):

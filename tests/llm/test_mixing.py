@@ -31,7 +31,7 @@ def test_mix(spark):
     enc = tokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken")
     assert counted.count() == 3002
     assert {r["n_tokens"] for r in counted.where("doc_id in (5000, 5001)").collect()} == {0}
-    got = mix(counted, targets, buckets=8).collect()
+    got = mix(counted, targets, in_bucket=100).collect()
     tokens = Counter()
     for r in got:
         tokens[r["source"]] += r["n_tokens"]

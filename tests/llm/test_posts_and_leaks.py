@@ -24,7 +24,9 @@ def test_words(text, want):
 
 
 def test_sentences():
-    assert sentences_of("> A long\n> line. Next one!\n\nThird") == ["A long line.", "Next one!", "Third"]
+    wrapped = "> one line that is long enough that its mailer had to go on\n> with the rest of it below. Next one!\n| short line\n| another\n\n--\nThird"
+    assert sentences_of(wrapped) == ["one line that is long enough that its mailer had to go on with the rest of it below.", "Next one!", "short line", "another", "Third"]
+    assert sentences_of("") == sentences_of("\n > \n") == []
 
 
 def brute(items, text, run):
