@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookalike import OTHER, script_of
+
 #: Pairs are counted under a hash of so many bits: the table's size is fixed, whatever the corpus.
 PAIR_BITS = 20
 #: Code points above this are counted together.
@@ -31,7 +33,7 @@ LEVEL = 1.5
 #: Gain in log-likelihood (nats) that a repair must bring.
 MARGIN = 2.0
 #: The gain asked of a mix-up of two single-byte encodings, which any text could have undergone.
-SINGLE_MARGIN = 2.5
+SINGLE_MARGIN = 1.5
 #: The same for encodings of old terminals, which are rarely mixed up with those of Windows.
 RARE_MARGIN = 8.0
 RARE = ("cp437", "cp850", "cp866", "mac_roman")
@@ -260,6 +262,11 @@ def runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     return out
 
 
+def mixed(word: str) -> bool:
+    """Whether a word has letters of two alphabets, which a true repair has not."""
+    return len({s for s in map(script_of, word) if s} - {OTHER}) > 1
+
+
 def margin(how: str) -> float:
     """The gain asked of a mapping."""
     wrote, _, read = how.partition("+")[0].partition(">")
@@ -317,7 +324,7 @@ def _best(text: str, a: int, b: int, model: PairModel, known: frozenset[str] = f
     best, name, top = None, "", 0.0
     for new, how in inverses(run + "\xa0" if flat else run):
         worth = model.likelihood(before + new + after) - as_is - (margin(how) - AGAIN if how in known else margin(how))
-        if worth > top:
+        if worth > top and not any(mixed(w) for w in new.split()):
             best, name, top = new, how, worth
     if len(model.repairs) > 200_000:
         model.repairs.clear()
