@@ -39,7 +39,7 @@ THRESHOLD = 0.15
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 _JOIN = re.compile(r"[ .\-_*]")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*#@$](?=[*#@$]*[^\W_]))*")
+_TOKEN = re.compile(r"[^\W_]+(?:[*#@$]++[^\W_]+)*")
 _LEET = str.maketrans("013457@$", "oieastas")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _STARS = re.compile(r"[*#@$]+")
