@@ -23,7 +23,7 @@ from .posts import sentences_of
 #: Weights are kept under a hash of so many bits.
 BITS = 18
 #: Posts at most used for fitting, taken by a hash of their ids; all votes on them count.
-FIT_POSTS = 6000
+FIT_POSTS = 12_000
 #: Words of a stretch that is scored as one; longer sentences are scored in overlapping stretches.
 STRETCH = 16
 #: FTRL-proximal: rate, smoothing, L1 and L2.
