@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import exif, jpeg, png, raster, video
 from .ebml import element
 
@@ -91,7 +91,7 @@ def _customer_jpeg(key: int, name: str, segment: str, nation: int) -> bytes:
 def customer_jpegs(spark: SparkSession, d: str) -> DataFrame:
     """(custkey, content): a JPEG per customer with JFIF, EXIF, XMP, ICC and a comment."""
     build = F.pandas_udf(lambda a, b, c, n: pd.Series([_customer_jpeg(*r) for r in zip(a, b, c, n)], dtype="object"), "binary")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), build("c_custkey", "c_name", "c_mktsegment", "c_nationkey").alias("content"))
+    return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("custkey"), build("c_custkey", "c_name", "c_mktsegment", "c_nationkey").alias("content"))
 
 
 def _frame(event: dict) -> bytes:
@@ -129,7 +129,8 @@ def _mkv(file_id: int, day: int, slot: int, events: list[dict]) -> bytes:
 def mkv_files(spark: SparkSession, d: str) -> DataFrame:
     """(file_id, content): a Matroska file per day and slot of users, a cluster per hour, a block per event."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), (F.col("user_id") % 50).cast("int").alias("slot"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) % 86_400_000_000) / 250_000).cast("int").alias("q"))
-    files = e.groupBy("day", "slot").agg(F.array_sort(F.collect_list(F.struct("q", "event_id", "user_id", "event_type"))).alias("events"))
+    cores = spark.sparkContext.defaultParallelism
+    files = e.groupBy("day", "slot").agg(F.array_sort(F.collect_list(F.struct("q", "event_id", "user_id", "event_type"))).alias("events")).repartition(cores)
 
     def build(days: pd.Series, slots: pd.Series, events: pd.Series) -> pd.Series:
         return pd.Series([_mkv(int(a) * 50 + int(b), int(a), int(b), [dict(x) if isinstance(x, dict) else x.asDict() for x in rows]) for a, b, rows in zip(days, slots, events)], dtype="object")
