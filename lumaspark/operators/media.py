@@ -304,6 +304,16 @@ def tracks(el: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("type", kind).withColumn("lacing", F.coalesce(F.col("lacing") != 0, F.lit(True))).withColumn("language", F.coalesce("language", F.lit("eng")))
 
 
+def codec_configs(df: DataFrame, key: str, content: str, el: DataFrame) -> DataFrame:
+    """(key, number, codec_id, raw, avc): codec private data of the tracks that have any, cut out of
+    the file by position; AVC tracks have it read as a configuration record, others only as bytes."""
+    t = fields_of(el, key, "TrackEntry", {"number": ("TrackNumber", "v_int"), "codec_id": ("CodecID", "v_text"), "at": ("CodecPrivate", "position"), "offset": ("CodecPrivate", "data_offset"), "size": ("CodecPrivate", "size")})
+    files = df.select(F.col(key).alias("_k"), F.col(content).alias("_c"))
+    t = t.where("at is not null").join(files, t[key] == F.col("_k")).withColumn("raw", F.expr("substring(_c, int(at + offset) + 1, int(size))"))
+    config = avcc(F.when(F.col("codec_id") == "V_MPEG4/ISO/AVC", F.col("raw")))
+    return t.select(key, "number", "codec_id", "raw", config.alias("p")).select(key, "number", "codec_id", "raw", F.col("p.value").alias("avc"), F.col("p.error").alias("error"))
+
+
 def blocks(df: DataFrame, key: str, content: str, el: DataFrame) -> DataFrame:
     """SimpleBlocks with their cluster's timestamp: (key, cluster_seq, seq, ts, track, ...).
 

@@ -232,6 +232,20 @@ def mkv_tracks(spark: SparkSession, d: str) -> DataFrame:
     return t.select("file_id", F.col("number").cast("long").alias("number"), F.col("uid").cast("string").alias("uid"), "type", "lacing", "language", "codec_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
 
 
+def mkv_codec_private(spark: SparkSession, d: str) -> DataFrame:
+    """Codec configuration of the AVC tracks of every file."""
+    f = X.mkv_files(spark, d)
+    el = f.select("file_id", F.explode(M.ebml_elements(F.col("content"))["value"]).alias("e")).select("file_id", "e.*")
+    c = M.codec_configs(f, "file_id", "content", el)
+    return c.select("file_id", F.col("number").cast("long").alias("number"), "avc.profile", "avc.level", "avc.nal_length_size", "avc.sps.pic_width_in_mbs_minus1")
+
+
+def mkv_top_level(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of the top level of every file and how many bytes each has; masters aren't entered."""
+    e = X.mkv_files(spark, d).select("file_id", F.length("content").alias("whole"), F.explode(M.ebml_elements(F.col("content"), descend=set(), payload=False)["value"]).alias("e"))
+    return e.groupBy("file_id", "whole").agg(F.array_join(F.array_sort(F.collect_set("e.name")), " ").alias("names"), F.sum(F.col("e.data_offset") + F.col("e.size")).alias("total")).select("file_id", "names", (F.col("total") == F.col("whole")).alias("complete"))
+
+
 def mkv_seek(spark: SparkSession, d: str) -> DataFrame:
     """Entries of the seek heads, with the element each one points to."""
     from ..sources.ebml import REGISTRY
@@ -348,7 +362,7 @@ QUERIES = {
     for f in (
         jpeg_segments, jpeg_frame_info, jpeg_quant_tables, jpeg_huffman_tables, exif_tags, exif_enums, xmp_text, jpeg_comments, jpeg_encode, jpeg_decode,
         png_chunks, png_ihdr, png_ancillary, png_palette, png_palette_decode, png_decode, zlib_header, bmp_parse, pnm_parse, pnm_write, convert, ftyp_parse,
-        ebml_header, ebml_tree, ebml_path, mkv_info, mkv_duration, mkv_tracks, mkv_seek, mkv_tags, mkv_blocks, mkv_framerate, nal_units, avcc_config,
+        ebml_header, ebml_tree, ebml_path, mkv_info, mkv_duration, mkv_tracks, mkv_codec_private, mkv_top_level, mkv_seek, mkv_tags, mkv_blocks, mkv_framerate, nal_units, avcc_config,
         sps_fields, h264_profile, jpeg_inspect, png_inspect, bmp_inspect, mp4_inspect, mkv_inspect, parse_errors,
     )
 }
@@ -393,7 +407,7 @@ _TREE = """t(depth, name, kind, n, path) as (values
   (2, 'TimestampScale', 'UnsignedInteger', 1, 'Segment/Info/TimestampScale'), (2, 'MuxingApp', 'Utf8', 1, 'Segment/Info/MuxingApp'), (2, 'WritingApp', 'Utf8', 1, 'Segment/Info/WritingApp'),
   (2, 'SegmentUuid', 'Binary', 1, 'Segment/Info/SegmentUuid'), (2, 'Duration', 'Float', 1, 'Segment/Info/Duration'), (1, 'Tracks', 'Master', 1, 'Segment/Tracks'),
   (2, 'TrackEntry', 'Master', 3, 'Segment/Tracks/TrackEntry'), (3, 'TrackNumber', 'UnsignedInteger', 3, 'Segment/Tracks/TrackEntry/TrackNumber'), (3, 'TrackUID', 'UnsignedInteger', 3, 'Segment/Tracks/TrackEntry/TrackUID'),
-  (3, 'TrackType', 'UnsignedInteger', 3, 'Segment/Tracks/TrackEntry/TrackType'), (3, 'CodecID', 'String', 3, 'Segment/Tracks/TrackEntry/CodecID'), (3, 'Video', 'Master', 1, 'Segment/Tracks/TrackEntry/Video'),
+  (3, 'TrackType', 'UnsignedInteger', 3, 'Segment/Tracks/TrackEntry/TrackType'), (3, 'CodecID', 'String', 3, 'Segment/Tracks/TrackEntry/CodecID'), (3, 'CodecPrivate', 'Binary', 1, 'Segment/Tracks/TrackEntry/CodecPrivate'), (3, 'Video', 'Master', 1, 'Segment/Tracks/TrackEntry/Video'),
   (4, 'PixelWidth', 'UnsignedInteger', 1, 'Segment/Tracks/TrackEntry/Video/PixelWidth'), (4, 'PixelHeight', 'UnsignedInteger', 1, 'Segment/Tracks/TrackEntry/Video/PixelHeight'),
   (3, 'Language', 'String', 1, 'Segment/Tracks/TrackEntry/Language'), (3, 'FlagLacing', 'UnsignedInteger', 1, 'Segment/Tracks/TrackEntry/FlagLacing'), (1, 'Tags', 'Master', 1, 'Segment/Tags'),
   (2, 'Tag', 'Master', 4, 'Segment/Tags/Tag'), (3, 'Targets', 'Master', 4, 'Segment/Tags/Tag/Targets'), (4, 'TagTrackUID', 'UnsignedInteger', 2, 'Segment/Tags/Tag/Targets/TagTrackUID'),
@@ -430,6 +444,8 @@ SQL: dict[str, str] = {
     "mkv_info": f"with {_EV} select file_id, 250000000::bigint as scale, 'lumaspark' as muxing_app, 'day ' || day as writing_app, printf('%016X%016X', day, slot) as segment_uuid, (last + 1)::double as duration, null::varchar as error from f",
     "mkv_duration": f"with {_EV} select file_id, (last + 1)::double * 250000000 / 1e9 as seconds from f",
     "mkv_tracks": f"with {_EV} select file_id, n.number::bigint as number, ({_UID} + n.number))::varchar as uid, n.type, n.lacing, n.language, n.codec_id, case when n.number = 1 then 640 + slot end::bigint as width, case when n.number = 1 then 480 end::bigint as height from f, (values (1, 'Video', true, 'eng', 'V_MPEG4/ISO/AVC'), (2, 'Audio', false, 'de', 'A_OPUS'), (3, 'Subtitle', true, 'eng', 'S_TEXT/UTF8')) n(number, type, lacing, language, codec_id)",
+    "mkv_codec_private": f"with {_EV}, s as (select *, slot + 1 as size from f) select file_id, 1::bigint as number, case slot % 4 when 0 then case when size % 2 = 1 then 'ConstrainedBaseline' else 'Baseline' end when 1 then 'Main' when 2 then 'Extended' else 'High' end as profile, cast(10 + size as int) as level, cast(size % 4 + 1 as int) as nal_length_size, (slot % 120)::bigint as pic_width_in_mbs_minus1 from s",
+    "mkv_top_level": f"with {_EV} select file_id, 'Ebml Segment' as names, true as complete from f",
     "mkv_seek": f"with {_EV} select file_id, 'Info' as target, (1000 + slot)::bigint as position from f union all select file_id, 'Tracks', (2000 + slot)::bigint from f",
     "mkv_tags": f"with {_EV} select file_id, 'global' as target, 'TITLE' as name, 'Day ' || day as text, null as bin from f union all select file_id, 'global', 'COUNT', n::varchar, null from f union all select file_id, ({_UID} + 1))::varchar, 'BPS', slot::varchar, null from f union all select file_id, ({_UID} + 1))::varchar, 'KEEP', null, '0102' from f",
     "mkv_blocks": f"with {_EV} select file_id, q * 0.25::double as seconds, (user_id % 3 + 1)::bigint as track, event_type = 'purchase' as keyframe, 'None' as lacing, count(*) as n, cast(sum(23 + event_id % 7) as bigint) as frame_bytes from ev group by 1, 2, 3, 4",

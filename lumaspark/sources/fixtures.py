@@ -104,7 +104,7 @@ def _mkv(file_id: int, day: int, slot: int, events: list[dict]) -> bytes:
     uid = lambda n: (1 << 63) + file_id * 10 + n
     track = lambda n, kind, codec, *more: element("TrackEntry", [element("TrackNumber", n), element("TrackUID", uid(n)), element("TrackType", kind), element("CodecID", codec), *more])
     video_size = element("Video", [element("PixelWidth", 640 + slot), element("PixelHeight", 480)])
-    tracks = element("Tracks", [track(1, 1, "V_MPEG4/ISO/AVC", video_size), track(2, 2, "A_OPUS", element("Language", "de"), element("FlagLacing", 0)), track(3, 17, "S_TEXT/UTF8")])
+    tracks = element("Tracks", [track(1, 1, "V_MPEG4/ISO/AVC", video_size, element("CodecPrivate", _avcc(slot, slot + 1))), track(2, 2, "A_OPUS", element("Language", "de"), element("FlagLacing", 0)), track(3, 17, "S_TEXT/UTF8")])
     last = max(e["q"] for e in events)
     head = element("Info", [element("TimestampScale", 250_000_000), element("MuxingApp", "lumaspark"), element("WritingApp", f"day {day}"), element("SegmentUuid", struct.pack(">QQ", day, slot)), element("Duration", float(last + 1))])
     simple = lambda k, v: element("SimpleTag", [element("TagName", k), element("TagBinary" if isinstance(v, bytes) else "TagString", v)])
