@@ -55,21 +55,25 @@ def read_bits(data: Column, at: Column | int, n: Column | int) -> Column:
 
 def bit_string(data: Column) -> Column:
     """The bits of (short) data as text of 0 and 1."""
-    one = lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 2), 8, "0")
-    return F.when(F.length(data) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(data)), one), ""))
+    eight = lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, F.lit(8))), 16, 2), F.least(F.lit(8), F.length(data) - i + 1) * 8, F.lit("0"))
+    return F.when(F.length(data) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(data), F.lit(8)), eight), ""))
 
 
 def read_ue(bits: Column) -> Column:
-    """Unsigned Exp-Golomb code that a bit text begins with, as struct(value, used bits)."""
+    """Unsigned Exp-Golomb code that a bit text begins with, as struct(value, used bits).
+
+    Null where the text ends within the code, or after 63 zeros or more: its value may not fit a BIGINT.
+    """
     zeros = F.instr(bits, "1") - 1
     used = 2 * zeros + 1
     value = F.conv(F.substring(bits, zeros + 1, zeros + 1), 2, 10).cast("long") - 1
-    return F.when((zeros >= 0) & (used <= F.length(bits)), F.struct(value.alias("value"), used.alias("used")))
+    return F.when((zeros >= 0) & (zeros < 63) & (used <= F.length(bits)), F.struct(value.alias("value"), used.alias("used")))
 
 
 def signed_code(k: Column) -> Column:
     """Signed number of an Exp-Golomb code number: 0, 1, -1, 2, -2, ..."""
-    return F.when(k % 2 == 0, -F.floor(k / 2)).otherwise(F.floor((k + 1) / 2)).cast("long")
+    half = F.call_function("shiftright", k.cast("long"), F.lit(1))
+    return F.when(k % 2 == 0, -half).otherwise(half + 1)
 
 
 def pack_bits(codes: Column) -> Column:

@@ -38,7 +38,7 @@ def bit_read_lsb(spark: SparkSession, d: str) -> DataFrame:
 
 def exp_golomb_ue(spark: SparkSession, d: str) -> DataFrame:
     """The unsigned Exp-Golomb code that the digest of each key begins with."""
-    b = _keys(spark, d).select("o_orderkey", bits.read_ue(bits.bit_string(F.substring("b", 1, 4))).alias("c"))
+    b = _keys(spark, d).select("o_orderkey", bits.read_ue(bits.bit_string(F.col("b"))).alias("c"))
     return b.select("o_orderkey", "c.value", "c.used")
 
 

@@ -1,5 +1,7 @@
 """Literal vectors for bits, Huffman codes, images and variable-size numbers."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from lumaspark.functions import bits, tables
 from lumaspark.operators import blocks as B
 from lumaspark.operators import huffman as H
 from lumaspark.operators import images as I
+from lumaspark.plans import codes
 from lumaspark.sources import ebml, jpeg
 
 
@@ -49,6 +52,25 @@ def test_exp_golomb(spark):
     assert [one(spark, bits.signed_code(F.lit(k))) for k in ue] == [0, -1, 1, -3, -2, -5]
 
 
+def test_exp_golomb_long(spark, tmp_path):
+    for zeros in (31, 32, 53, 62, 63):
+        r = one(spark, bits.read_ue(F.lit("0" * zeros + "1" * (zeros + 1))))
+        assert (r and tuple(r)) == ((2 ** (zeros + 1) - 2, 2 * zeros + 1) if zeros < 63 else None)
+    assert [one(spark, bits.signed_code(F.lit(k))) for k in (2**55 + 1, 2**63 - 2, 2**63 - 1)] == [2**54 + 1, 1 - 2**62, 2**62]
+    assert [one(spark, bits.bit_string(hx("80F1" * n))) for n in (0, 1, 4, 8)] == ["1000000011110001" * n for n in (0, 1, 4, 8)]
+    assert one(spark, bits.bit_string(hx("00" * 8 + "FF" * 8 + "01"))) == "0" * 64 + "1" * 64 + "00000001"
+    keys = [5329, 79042, 1]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    want = {}
+    for k in keys:
+        b = f"{int(hashlib.md5(str(k).encode()).hexdigest(), 16):0128b}"
+        z = b.index("1")
+        want[k] = (int(b[z : 2 * z + 1], 2) - 1, 2 * z + 1)
+    assert want[5329][1] == 37
+    assert {r["o_orderkey"]: (r["value"], r["used"]) for r in codes.exp_golomb_ue(spark, str(tmp_path)).collect()} == want
+    assert {r["o_orderkey"]: r["value"] for r in codes.exp_golomb_se(spark, str(tmp_path)).collect()} == {k: (v + 1) // 2 if v % 2 else -(v // 2) for k, (v, _) in want.items()}
+
+
 @pytest.mark.parametrize(
     ("codes", "want"),
     [([("11", 0), ("011", 0), ("010", 0)], "DA"), ([(c, 0) for c in ("011", "11", "010", "010", "011", "11")], "7A4F"), ([("11", 0), ("011", 0)], "D8"), ([(c, 0) for c in ("011", "11", "010", "11", "011")], "7AD8"), ([], "")],
