@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -98,10 +99,11 @@ class Mapper:
     :param entries: (id, text) of the field's entries; the smallest id wins among equal keys.
     :param others: texts of other fields that may stand beside a name (a make before a model), also
         written together with it; they are never the answer.
+    :param names: what ``names_of`` gives for the whole field, where ``entries`` are only a shard of it.
     """
 
-    def __init__(self, entries: list[tuple[int, str]], others: list[str] | None = None):
-        self.fold = Transducer([t for _, t in entries])
+    def __init__(self, entries: list[tuple[int, str]], others: list[str] | None = None, names: tuple | None = None):
+        self.fold, self.longest, self.beside, self.joined = names or self.names_of([t for _, t in entries], others)
         self.by_key: dict[str, int] = {}
         self.split: list[tuple[int, list[str]]] = []
         for ref_id, text in sorted(entries):
@@ -110,17 +112,28 @@ class Mapper:
                 if words:
                     self.by_key.setdefault("".join(words), ref_id)
                     self.split.append((ref_id, words))
-        self.beside = {"".join(self.words(o)) for o in others or []} - {""}
-        firsts = {w[0] for w in map(self.words, others or []) if w and len(w[0]) > 4 and w[0].isalpha()}
-        self.joined = sorted(self.beside | firsts, key=len, reverse=True)
+        self.sizes = sorted(set(map(len, self.joined)), reverse=True)
         self.tree = BKTree(list(self.by_key))
         self.widest = max(map(len, self.by_key), default=0)
-        self.longest = max((len(self.words(t)) for _, t in entries), default=0)
-        self.longer = {k: [o for o in self.by_key if o != k and k in o] for k in self.by_key}
+        self.lines = "\n".join(["", *self.by_key, ""])
         self.memo: dict[str, tuple[int, str] | None] = {}
 
+    @classmethod
+    def names_of(cls, texts: list[str], others: list[str] | None = None) -> tuple[Transducer, int, set[str], set[str]]:
+        """What a mapper needs of all entries of a field and of the other fields: the transducer, the
+        most words of an entry, the keys that stand beside a name, those and their first words."""
+        fold = Transducer(texts)
+        beside = [w for w in (cls._words(fold, o) for o in others or []) if w]
+        keys = {"".join(w) for w in beside}
+        longest = max((len(cls._words(fold, t)) for t in texts), default=0)
+        return fold, longest, keys, keys | {w[0] for w in beside if len(w[0]) > 4 and w[0].isalpha()}
+
     def words(self, text: str) -> list[str]:
-        text = self.fold.convert(text) or ""
+        return self._words(self.fold, text)
+
+    @staticmethod
+    def _words(fold: Transducer, text: str) -> list[str]:
+        text = fold.convert(text) or ""
         text = _INSIDE.sub("", _MARKS.sub(" ", text))
         text = unicodedata.normalize("NFKD", text.casefold().translate(_PLAIN))
         text = "".join(c for c in text if not unicodedata.combining(c)).translate(_PLAIN)
@@ -130,8 +143,31 @@ class Mapper:
     def respelt(text: str, table: dict[str, str]) -> str:
         return "".join(table.get(c, c) for c in unicodedata.normalize("NFC", text.casefold()))
 
+    def _longer(self, key: str) -> bool:
+        """Whether the key is a part of a longer one."""
+        at = self.lines.find(key)
+        while at >= 0:
+            if self.lines[at - 1] != "\n" or self.lines[at + len(key)] != "\n":
+                return True
+            at = self.lines.find(key, at + 1)
+        return False
+
     def _short(self, text: str, words: list[str]) -> tuple[int, int, str] | None:
         """The one entry that a text with a shortened last word can mean, or None."""
+        return next(filter(None, (self._only(*h) for h in self._shortened(text, words))), None)
+
+    @staticmethod
+    def _only(hits: dict[int, tuple[int, str]], last: set[int]) -> tuple[int, int, str] | None:
+        if len(last) == 1:
+            hits = {ref_id: hits[ref_id] for ref_id in last}
+        if len(hits) == 1:
+            (ref_id, (far, key)), = hits.items()
+            return ref_id, far, key
+        return None
+
+    def _shortened(self, text: str, words: list[str]) -> Iterator[tuple[dict[int, tuple[int, str]], set[int]]]:
+        """For each span that ends in a shortened word: the entries it can mean, and those of them
+        whose last word it is."""
         cut = {w for t in _SHORT.findall(self.fold.convert(text)) for w in self.words(t)} - set(BESIDE)
         starts = [0] + [i for i in range(1, len(words)) if "".join(words[:i]) in self.beside]
         for start in starts:
@@ -151,12 +187,7 @@ class Mapper:
                             hits[ref_id] = (sum(far), "".join(entry))
                             if len(entry) == n + 1:
                                 last.add(ref_id)
-                if len(last) == 1:
-                    hits = {ref_id: hits[ref_id] for ref_id in last}
-                if len(hits) == 1:
-                    (ref_id, (far, key)), = hits.items()
-                    return ref_id, far, key
-        return None
+                yield hits, last
 
     @staticmethod
     def _begins(word: str, cut: str, slip: bool) -> bool:
@@ -205,31 +236,101 @@ class Mapper:
                             score = len(hit[1]) - 3 * hit[0]
                             if best is None or (score, -hit[0]) > (best[0], -best[1]) or (score, hit[0]) == best[:2] and hit[1] < best[2]:
                                 best = (score, hit[0], hit[1])
-            if best and not self.longer[best[2]]:
+            if best and not self._longer(best[2]):
                 break
             if best and exact and len("".join(words)) <= len(best[2]):
                 break
         if best is None:
-            return self._apart(words) or self._short(text, words)
+            hit = self._apart(words)
+            return hit[1:] if hit else self._short(text, words)
         if best[1] >= 2:
             short = self._short(text, words)
             if short:
                 return short
         return self.by_key[best[2]], best[1], best[2]
 
-    def _apart(self, words: list[str]) -> tuple[int, int, str] | None:
-        """The entry in words written together with a name of another field."""
+    def _apart(self, words: list[str]) -> tuple[int, int, int, str] | None:
+        """The entry in words written together with a name of another field, after the number of the
+        way of taking them apart; the first way that gives an entry counts."""
+        way = 0
         for i in range(len(words)):
             key = ""
             for j in range(i, min(len(words), i + self.longest + 2)):
                 key += words[j]
-                for other in self.joined if len(key) > 7 else ():
-                    rest = key[len(other) :] if key.startswith(other) else key[: -len(other)] if key.endswith(other) else ""
-                    hit = self._near(rest) if len(rest) > 2 else None
-                    if hit:
-                        return self.by_key[hit[1]], hit[0], hit[1]
+                for n in self.sizes if len(key) > 7 else ():
+                    for other, rest in ((key[:n], key[n:]), (key[-n:], key[:-n]))[: 1 if key[:n] == key[-n:] else 2]:
+                        way += 1
+                        hit = self._near(rest) if len(rest) > 2 and other in self.joined else None
+                        if hit:
+                            return way, self.by_key[hit[1]], hit[0], hit[1]
         return None
 
+    def candidates(self, text: str) -> list[tuple[str, str, int, str, int]]:
+        """(kind, at, distance, key, ref_id): all that this shard of a field can add to an answer.
+
+        ``size`` has the length of the text's key as its distance, ``near`` the nearest entry of each
+        span, ``longer`` a span that is part of a longer key, ``apart`` the first way of taking words
+        apart, ``short`` and ``last`` up to two entries that a shortened word can mean: one more
+        doesn't make them less ambiguous.
+        """
+        words = self.words(text)
+        out = [("size", "", len("".join(words)), "", 0)]
+        seen: set[str] = {""}
+        for i in range(len(words)):
+            key = ""
+            for j in range(i, min(len(words), i + self.longest + 2)):
+                key += words[j]
+                if len(key) > self.widest + 2 + max(map(len, BESIDE)):
+                    break
+                for k in self._bare(key):
+                    if k in seen:
+                        continue
+                    seen.add(k)
+                    if hit := self._near(k):
+                        out.append(("near", k, *hit, self.by_key[hit[1]]))
+                    if self._longer(k):
+                        out.append(("longer", k, 0, "", 0))
+        if not any(o[0] == "near" for o in out) and (hit := self._apart(words)):
+            out.append(("apart", str(hit[0]), hit[2], hit[3], hit[1]))
+        for n, (hits, last) in enumerate(self._shortened(text, words)):
+            for ref_id in sorted(hits, key=lambda r: (r not in last, r))[:2]:
+                out.append(("last" if ref_id in last else "short", str(n), *hits[ref_id], ref_id))
+        return out
+
+    @classmethod
+    def settle(cls, candidates: list[tuple[str, str, int, str, int]]) -> tuple[int, int, str] | None:
+        """What ``find`` gives with all entries, from the candidates of all shards."""
+        near: dict[str, tuple[int, str, int]] = {}
+        apart: list[tuple[int, int, str, int]] = []
+        short: dict[int, tuple[dict, set]] = {}
+        longer, size = set(), 0
+        for kind, at, far, key, ref_id in candidates:
+            if kind == "near":
+                near[at] = min(near.get(at, (far, key, ref_id)), (far, key, ref_id))
+            elif kind == "longer":
+                longer.add(at)
+            elif kind == "apart":
+                apart.append((int(at), far, key, ref_id))
+            elif kind == "size":
+                size = far
+            else:
+                hits, last = short.setdefault(int(at), ({}, set()))
+                hits[ref_id] = (far, key)
+                if kind == "last":
+                    last.add(ref_id)
+        order = lambda h: (3 * h[0] - len(h[1]), *h)
+        best = min((h for h in near.values() if h[0] == 0), key=order, default=None)
+        if best is None or best[1] in longer and size > len(best[1]):
+            best = min(near.values(), key=order, default=None)
+        if best is None and apart:
+            _, far, key, ref_id = min(apart)
+            return ref_id, far, key
+        if best is None or best[0] >= 2:
+            hit = next(filter(None, (cls._only(*short[n]) for n in sorted(short))), None)
+            if hit or best is None:
+                return hit
+        return best[2], best[0], best[1]
+
     @staticmethod
     def _bare(key: str) -> list[str]:
         """The key, and what is left of it without a word written onto it."""
@@ -301,31 +402,41 @@ def map_values(df: DataFrame, field: Column, text: Column, refs: DataFrame, to:
 
 
 def map_values_sharded(df: DataFrame, field: Column, text: Column, refs: DataFrame, to: str = "match", per_shard: int = BROADCAST_ENTRIES, salts: int = 16) -> DataFrame:
-    """The same result for a list too long for one worker.
+    """The same result for a list too long for one worker's tree.
 
-    Each shard of the list meets every distinct text once; the winners of the shards merge by
-    nearest entry, then longest, then smallest id. Texts are salted, so no task gets all of them.
+    Each shard of the list meets every distinct text once and gives its candidates; what they mean
+    is settled where those of all shards are together. Every shard knows the names of all entries
+    (``Mapper.names_of``), but has only its own in a tree. Texts are salted, so no task gets all of
+    them.
     """
     clean = refs.where("entry_name is not null and ref_id is not null")
-    shards = -(-clean.count() // per_shard) or 1
+    texts_of: dict[str, list[str]] = {}
+    total = 0
+    for f, t in clean.select("field_name", "entry_name").toLocalIterator():
+        texts_of.setdefault(f, []).append(t)
+        total += 1
+    shards = -(-total // per_shard) or 1
+    names = df.sparkSession.sparkContext.broadcast({f: Mapper.names_of(own, [t for g, o in texts_of.items() if g != f for t in o]) for f, own in texts_of.items()})
     texts = df.select(field.alias("_f"), text.alias("_t")).where("_f is not null and _t is not null").distinct()
     salt = F.pmod(F.xxhash64("_t"), F.lit(salts)).cast("int")
     asked = texts.withColumn("_salt", salt).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     held = (
-        clean.select("ref_id", "field_name", "entry_name", F.pmod(F.xxhash64("entry_name"), F.lit(shards)).cast("int").alias("_shard"))
+        clean.select("ref_id", "field_name", "entry_name", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int").alias("_shard"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        mappers = {f: Mapper(list(zip(g["ref_id"], g["entry_name"]))) for f, g in right.groupby("field_name")}
-        out = []
-        for f, t in zip(left["_f"], left["_t"]):
-            hit = mappers[f].find(t) if f in mappers else None
-            if f in mappers:
-                out.append((f, t, hit[0] if hit else 0, hit[1] if hit else None, len(hit[2]) - 3 * hit[1] if hit else -1000))
-        return pd.DataFrame(out, columns=["_f", "_t", "ref_id", "distance", "score"]).astype({"distance": "Int32"})
-
-    found = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(meet, "_f string, _t string, ref_id long, distance int, score int")
-    best = found.groupBy("_f", "_t").agg(F.max_by(F.struct("ref_id", "distance"), F.struct("score", -F.coalesce("distance", F.lit(99)), -F.col("ref_id"))).alias(to))
+        own = {f: list(zip(g["ref_id"], g["entry_name"])) for f, g in right.groupby("field_name")}
+        mappers = {f: Mapper(own.get(f, []), names=names.value[f]) for f in set(left["_f"]) & set(names.value)}
+        out = [(f, t, *c) for f, t in zip(left["_f"], left["_t"]) if f in mappers for c in mappers[f].candidates(t)]
+        return pd.DataFrame(out, columns=["_f", "_t", *parts])
+
+    def settle(all_candidates: pd.Series) -> pd.DataFrame:
+        hits = [Mapper.settle([tuple(c[p] for p in parts) for c in cs]) for cs in all_candidates]
+        return pd.DataFrame({"ref_id": pd.array([h[0] if h else 0 for h in hits], dtype="Int64"), "distance": pd.array([h[1] if h else None for h in hits], dtype="Int32")})
+
+    parts = ["kind", "at", "distance", "key", "ref_id"]
+    found = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(meet, "_f string, _t string, kind string, at string, distance int, key string, ref_id long")
+    best = found.groupBy("_f", "_t").agg(F.collect_list(F.struct(*parts)).alias("_c")).select("_f", "_t", F.pandas_udf(settle, "ref_id long, distance int")("_c").alias(to))
     keyed = df.withColumn("_kf", field).withColumn("_kt", text)
     return keyed.join(best, (keyed["_kf"] == best["_f"]) & (keyed["_kt"] == best["_t"]), "left").drop("_f", "_t", "_kf", "_kt")

@@ -52,3 +52,27 @@ def test_columns(spark):
         assert out == {(1, 1), (2, None), (3, None), (4, 0), (5, 0), (6, None), (7, 0)}
         assert run(df, F.col("field_name"), F.col("text"), refs).count() == len(rows)
         assert run(df.limit(0), F.col("field_name"), F.col("text"), refs).count() == 0
+
+
+TEXTS = ["velmora", "Vemora", "Hos.", "Drei Lim.", "DreiLinsenCompany", "VelmoraVX20", "VX20Velmora", "Velmora Duc.", "Velmora Dr.", "Dr.", "Dru.", "Duc.", "Duchess Min.", "Duches Mini", "Duchess", "vx 20", "v x 2 0 0", "VX_20 II", "VX-21", "Kite 41O", "Kite 400", "Kit 410 Kite 400", "Drumlinekit", "Dreiklan", "Splicer Fr.", "libsplicer'sfrieend-2.2", "ARDOVIT", "Bagol Electronics", "--", ""]
+
+
+@pytest.mark.parametrize("shards", [1, 2, 3, 9])
+@pytest.mark.parametrize(("own", "others"), [(MAKES, MODELS), (MODELS, MAKES)])
+def test_shards_settle_as_one(own, others, shards):
+    own = [*own, (own[0][0] + 90, own[0][1]), (own[1][0], own[1][1] + " Mark")]  # a name with two ids, an id with two names
+    names = [t for _, t in others]
+    whole = Mapper(own, names)
+    parts = [Mapper([e for e in own if e[0] % shards == k], names=Mapper.names_of([t for _, t in own], names)) for k in range(shards)]
+    words = sorted({w for t in TEXTS for w in t.split()})
+    for text in TEXTS + [f"{a} {b}" for a in words for b in words] + [a + b for a in words for b in words]:
+        assert Mapper.settle([c for p in parts for c in p.candidates(text)]) == whole.find(text), text
+
+
+def test_sharded_columns_are_the_same(spark):
+    df = spark.createDataFrame([(f, t) for f in ("Make", "Model") for t in TEXTS], "field_name string, text string")
+    refs = spark.createDataFrame([("Make", i, t) for i, t in MAKES] + [("Model", i, t) for i, t in MODELS], "field_name string, ref_id long, entry_name string")
+    runs = [lambda: map_values(df, F.col("field_name"), F.col("text"), refs), lambda: map_values_sharded(df, F.col("field_name"), F.col("text"), refs, per_shard=2, salts=3)]
+    one, other = [{(r["field_name"], r["text"]): r["match"] for r in run().collect()} for run in runs]
+    assert one == other
+    assert [other["Model", t]["ref_id"] for t in ("VelmoraVX20", "Velmora Duc.", "Dr.")] == [10, 13, 0]
