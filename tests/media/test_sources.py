@@ -46,6 +46,25 @@ def test_convert(spark, folder):
         convert_files(spark, str(folder / "in"), str(folder / "x"), "gif")
 
 
+def test_convert_keeps_every_image(spark, folder):
+    src = folder / "in"
+    for name in ("x", "y z", "x/deep.er"):
+        (src / name).mkdir()
+        (src / name / "a.png").write_bytes((src / "a.png").read_bytes())
+    failed = convert_files(spark, str(src), str(folder / "out"), "ppm").collect()
+    assert [(os.path.basename(r["path"]), r["error"].split(":")[0].split()[0]) for r in failed] == [("broken.png", "unexpected_end")]
+    files = sorted(str(p.relative_to(folder / "out")) for p in (folder / "out").rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert files == ["a.ppm", "b.ppm", "x/a.ppm", "x/deep.er/a.ppm", "y z/a.ppm"]
+    convert_files(spark, f"{src}/x*/", str(folder / "glob"), "ppm")
+    assert (folder / "glob" / "x" / "a.ppm").exists()
+    convert_files(spark, f"{src}/a.png", str(folder / "single"), "ppm")
+    assert os.listdir(folder / "single") == ["a.ppm"]
+    (src / "x" / "a.ppm").write_bytes((src / "b.PPM").read_bytes())
+    with pytest.raises(Exception, match="several images"):
+        convert_files(spark, str(src), str(folder / "twice"), "ppm")
+    assert not [p for p in (folder / "twice").rglob("*") if p.is_file()]
+
+
 def test_stream(spark, folder):
     stream = S.parts(S.new_files(spark, str(folder / "in"), "*.png"), "png")
     q = stream.writeStream.format("memory").queryName("png_parts").trigger(availableNow=True).start()
