@@ -8,7 +8,8 @@ import re
 _INLINE = "b|i|u|s|em|strong|span|font|sup|sub|tt|code|mark|small|big|a|del|ins|strike|color|size"
 _TAG_IN = re.compile(rf"</?(?:{_INLINE})(?:\s[^<>]*)?>|\[/?(?:{_INLINE})(?:=[^\[\]]*)?\]", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|\[/?[A-Za-z]+(?:=[^\[\]\n]*)?\]", re.S)
-_INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿᠎͏︀-️]")
+#: Invisible characters that join what stands on either side; line and paragraph separators are white space.
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -28,7 +29,9 @@ def words_of(text: str) -> list[str]:
 
 _QUOTE = re.compile(r"^[ \t]*(?:[>|»][ \t]?)+")
 _END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
+_ENDS = re.compile(r"[.!?…](?!$)")
 _RULE = re.compile(r"[-_*=~]{2,}")
+_QUOTES, _RULES = (">", "|", "»"), ("-", "_", "*", "=", "~")
 #: A line is taken for wrapped if the next word would have made it longer than this.
 WRAP = 60
 
@@ -42,8 +45,10 @@ def sentences_of(text: str) -> list[str]:
     out: list[str] = []
     open_, length = "", 0
     for raw in unmarked(text).split("\n"):
-        line = _QUOTE.sub("", raw).strip()
-        if not line or _RULE.fullmatch(line):
+        line = raw.strip()
+        if line[:1] in _QUOTES:
+            line = _QUOTE.sub("", line).strip()
+        if not line or line[0] in _RULES and _RULE.fullmatch(line):
             if open_:
                 out.append(open_)
             open_ = ""
@@ -56,4 +61,4 @@ def sentences_of(text: str) -> list[str]:
         length = len(raw.rstrip())
     if open_:
         out.append(open_)
-    return [" ".join(s.split()) for part in out for s in _END.split(part) if s and not s.isspace()]
+    return [" ".join(words) for part in out for s in (_END.split(part) if _ENDS.search(part) else (part,)) if (words := s.split())]
