@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
+from functools import cache
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "lumaspark") -> SparkSession:
@@ -40,15 +45,37 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@cache
+def _own_folder() -> str:
+    """A checkpoint folder for a local session, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="lumaspark-checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session.
+    """The rows computed once, for use in several places.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only a session that sets none
-    (tests, a laptop) gets a temporary one.
+    They are written to the shared checkpoint folder that the session has or names in
+    ``spark.checkpoint.dir``. Where it names none, a local session gets a folder of its own; on a
+    cluster, whose machines don't share folders, the rows are kept by the executors and those of a
+    lost one are computed again.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lumaspark-checkpoints"))
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        sc.setCheckpointDir(named or _own_folder())
     return df.checkpoint(eager=True)
+
+
+#: Rows of a side that is broadcast, at most.
+BROADCAST_ROWS = 50_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows computed once and marked for broadcast, or the plan as it is if they are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
