@@ -1,10 +1,10 @@
 """Problem 6: evaluation texts leaking into training text.
 
-Test items are the documents of a small BM25 index; every passage of every post is a query against
-it. Block-max WAND skips items and blocks that can't reach the threshold. The threshold is exact: an
+Test items are the documents of a BM25 index; every passage of every post is a query against it.
+Block-max WAND skips items and blocks that can't reach the threshold. The threshold is exact: an
 item's scores are divided by the least score that any run of ``RUN`` of its words can have, so a
-passage holding such a run scores at least 1 and none is lost. What is retrieved is verified word
-by word.
+passage holding such a run scores at least 1 and none is lost. Passages end at words that no item
+has, which no leak can hold. What is retrieved is verified word by word.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import bisect
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +27,8 @@ RUN = 12
 K1, B = 1.2, 0.75
 #: Postings per block.
 BLOCK = 8
-#: An index above this many words of test items is refused; test sets are small and are broadcast.
-INDEX_WORDS = 20_000_000
+#: Characters of test items in one broadcast index, on average; more items are searched in shards.
+SHARD_CHARS = 4_000_000
 
 
 class ItemIndex:
@@ -53,6 +55,7 @@ class ItemIndex:
         self.postings = {w: ([k for k, _ in p], [x for _, x in p]) for w, p in postings.items()}
         self.blocks = {w: [(p[0][min(s + BLOCK, len(p[0])) - 1], max(p[1][s : s + BLOCK])) for s in range(0, len(p[0]), BLOCK)] for w, p in self.postings.items()}
         self.top = {w: max(p[1]) for w, p in self.postings.items()}
+        self.known: dict[tuple[str, ...], list[int]] = {}
 
     def above(self, words: set[str], threshold: float = 1.0 - 1e-9) -> list[int]:
         """All items scoring at least the threshold for a passage, by block-max WAND."""
@@ -99,24 +102,37 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] < len(c[1])]
         return found
 
-    def leaks(self, text: str | None) -> list[tuple[int, int]]:
-        """(item, words in the longest verified stretch) for every item a post leaks.
+    def _passages(self, words: list[str]) -> Iterator[list[str]]:
+        """Stretches of words that occur in items, cut to twice the run, each starting a run after the
+        last, so any run of words lies whole in one of them; what can't reach the threshold even if
+        all of its words scored their most is left out."""
+        run, top, start = self.run, self.top, 0
+        tops = [*map(top.get, words), None]
+        for end in [i for i, x in enumerate(tops) if x is None]:
+            if end - start >= run:
+                for at in range(start, end - run + 1, run):
+                    stop = min(end, at + 2 * run)
+                    if sum(tops[at:stop]) >= 1.0 - 1e-9:
+                        yield words[at:stop]
+            start = end + 1
 
-        The post is cut into passages of twice the run, each starting a run after the last, so any
-        run of words lies whole in one of them.
-        """
+    def leaks(self, text: str | None) -> list[tuple[int, int]]:
+        """(item, words in the longest verified stretch) for every item a post leaks."""
         if not text:
             return []
         words = words_of(text)
         run = self.run
         best: dict[int, int] = {}
-        for start in range(0, max(1, len(words) - run + 1), run):
-            passage = words[start : start + 2 * run]
-            if len(passage) < run:
-                continue
-            for i in self.above(set(passage)):
-                if i not in best and any(tuple(passage[p : p + run]) in self.grams[i] for p in range(len(passage) - run + 1)):
-                    best[i] = 0
+        for passage in self._passages(words):
+            key = tuple(passage)
+            hits = self.known.get(key)
+            if hits is None:
+                grams = [key[p : p + run] for p in range(len(key) - run + 1)]
+                hits = [i for i in self.above(set(passage)) if any(g in self.grams[i] for g in grams)]
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[key] = hits
+            best.update(dict.fromkeys(hits, 0))
         for i in best:
             grams, streak = self.grams[i], 0
             for p in range(len(words) - run + 1):
@@ -125,18 +141,25 @@ class ItemIndex:
         return sorted(best.items())
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, item_id, n_words): every pair of a post and a test item it leaks.
 
     Null and empty texts leak nothing, items of fewer than ``run`` words can't leak, repeated rows
-    of a post give one row per pair. The index travels to every worker once; its size is checked
-    against ``INDEX_WORDS``. Posts stay where they are read: only pairs found are shuffled.
+    of a post give one row per pair. Items are dealt out to as many indexes as their size asks for,
+    each of which travels to every worker once and meets all posts; scores are relative to an item's
+    own, so the shards change nothing. Posts stay where they are read: only pairs found are shuffled.
     """
-    rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
-    size = rows.agg(F.sum(F.length(item_text))).first()[0] or 0
-    if size > 6 * INDEX_WORDS:
-        raise ValueError(f"test items of {size} characters are too large for a broadcast index; pass them in parts and unite the results")
-    shared = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows.collect()])
+    rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).distinct()
+    shards = -(-(rows.agg(F.sum(F.length("item_text"))).first()[0] or 0) // shard_chars) or 1
+    posts = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = [posts.select("doc_id", F.explode(_searcher(rows, shards, k, run)(F.col("text"))).alias("leak")) for k in range(shards)]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", F.col("leak.item_id").alias("item_id")).agg(F.max("leak.n_words").alias("n_words"))
+
+
+def _searcher(rows: DataFrame, shards: int, k: int, run: int):
+    """Column function text -> leaks of the items of one shard."""
+    mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
+    shared = rows.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in mine])
     state: dict = {}
 
     def search(texts: pd.Series) -> pd.Series:
@@ -145,6 +168,4 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
         index = state["index"]
         return pd.Series([[{"item_id": i, "n_words": n} for i, n in index.leaks(t)] for t in texts], dtype="object")
 
-    found = F.pandas_udf(search, "array<struct<item_id:long,n_words:int>>")
-    pairs = documents.select(F.col(doc_id).alias("doc_id"), F.explode(found(F.col(text))).alias("leak"))
-    return pairs.where("doc_id is not null").groupBy("doc_id", F.col("leak.item_id").alias("item_id")).agg(F.max("leak.n_words").alias("n_words"))
+    return F.pandas_udf(search, "array<struct<item_id:long,n_words:int>>")

@@ -65,3 +65,13 @@ def test_column(spark):
     assert out == {(1, 7, 13), (1, 8, 13), (5, 7, 13), (5, 8, 13)}
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_shards(spark):
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choices([f"w{n}" for n in range(30)], k=40))) for k in range(30)]
+    posts = [(k, " ".join(["zz", *items[rng.randrange(30)][1].split()[rng.randrange(20) :][: rng.randint(8, 20)], "yy"])) for k in range(200)]
+    docs, held = spark.createDataFrame(posts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = {tuple(r) for r in find_leaks(docs, held).collect()}
+    assert {r[:2] for r in one} == {(k, i) for k, t in posts for i in brute(items, t, 12)} and one
+    assert {tuple(r) for r in find_leaks(docs, held, shard_chars=700).collect()} == one
