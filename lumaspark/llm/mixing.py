@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import base64
 import math
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Default place of the tokenizer's ranks.
@@ -24,22 +23,30 @@ TILT = 0.5
 IN_BUCKET = 50_000
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The public byte-level tokenizer whose ranks lie at ``path``."""
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The ranks of a public byte-level tokenizer, read from its file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def tokenizer(ranks: dict[bytes, int]):
+    """The tokenizer of these ranks."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(path: str = TOKENIZER):
-    """Column function text -> tokens; a null text has none."""
+def token_count(spark: SparkSession, path: str = TOKENIZER):
+    """Column function text -> tokens; a null text has none. Only the driver reads the file: the ranks
+    (some 50,000) are broadcast."""
+    shared = spark.sparkContext.broadcast(ranks_of(path))
+    state: dict = {}
 
     def run(texts: pd.Series) -> pd.Series:
-        enc = tokenizer(path)
+        if "enc" not in state:
+            state["enc"] = tokenizer(shared.value)
+        enc = state["enc"]
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return F.pandas_udf(run, "long")
@@ -78,12 +85,23 @@ def position(share_done: F.Column, lean: F.Column) -> F.Column:
 
 
 def with_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens), one row per document; repeated rows of a document count once."""
-    return documents.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("source", "text")).alias("d")).select("doc_id", F.col("d.source").alias("source"), token_count(path)(F.col("d.text")).alias("n_tokens"))
+    """(doc_id, source, n_tokens), one row per document; repeated rows of a document count once.
+
+    Tokens are counted where the texts lie; ids, sources and counts are all that is shuffled. Of rows
+    of one id that differ, the first source and then the smallest count stand.
+    """
+    counted = documents.where("doc_id is not null").select("doc_id", "source", token_count(documents.sparkSession, path)(F.col("text")).alias("n_tokens"))
+    return counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 
 def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, in_bucket: int = IN_BUCKET) -> DataFrame:
-    """(doc_id, source, copy, n_tokens, position, token_start): the mix in training order.
+    """(doc_id, source, copy, n_tokens, position, token_start): the mix in training order."""
+    out = placed(counted, targets, total, in_bucket)
+    return out.repartitionByRange(F.col("position"), F.col("doc_id"), F.col("copy")).sortWithinPartitions("position", "doc_id", "copy")
+
+
+def placed(counted: DataFrame, targets: DataFrame, total: int | None = None, in_bucket: int = IN_BUCKET) -> DataFrame:
+    """The rows of ``mix`` in no order.
 
     Documents of sources without a target, of a null source or without tokens are left out, as the
     mix has no part for them. A source gives whole documents, so it misses its share by less than
@@ -107,14 +125,13 @@ def mix(counted: DataFrame, targets: DataFrame, total: int | None = None, in_buc
     turn = Window.partitionBy("source").orderBy("copy", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(turn), F.lit(0))).select("source", "copy", "bucket", "before")
     inside = Window.partitionBy("source", "copy", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    rows = (
         copies.join(starts, ["source", "copy", "bucket"])
         .withColumn("token_start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .where(F.col("token_start") + F.col("n_tokens") / 2 <= F.col("want"))
         .withColumn("position", position((F.col("token_start") + F.col("n_tokens") / 2) / F.col("want"), F.col("lean")))
     )
-    out = placed.select("doc_id", "source", "copy", "n_tokens", "position", "token_start")
-    return out.repartitionByRange(F.col("position"), F.col("doc_id"), F.col("copy")).sortWithinPartitions("position", "doc_id", "copy")
+    return rows.select("doc_id", "source", "copy", "n_tokens", "position", "token_start")
 
 
 def report(mixed: DataFrame, targets: DataFrame, counted: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..session import checkpointed, spread, table
 from .canonical import has_sign, map_values
 from .leakage import find_leaks
 from .lookalike import consistent
-from .mixing import mix, report, with_tokens
+from .mixing import mix, placed, report, with_tokens
 from .mojibake import mend_text, pair_model
 from .toxicity import THRESHOLD, fit_on, rates, score_posts
 
@@ -100,11 +100,11 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item"))
     per = leaks.groupBy("item_id").agg(F.count("*").alias("n_posts"), F.max("n_words").alias("most_words"))
     items = table(spark, sf_dir, "eval_item").select("item_id", "topic").distinct()
-    return items.join(F.broadcast(per), "item_id", "left").fillna(0, ["n_posts", "most_words"])
+    return items.join(per, "item_id", "left").fillna(0, ["n_posts", "most_words"])
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpointed(with_tokens(table(spark, sf_dir, "documents")))
+    return checkpointed(with_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every board of the mix."""
     counted, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_target")
-    return report(mix(counted, targets), targets, counted)
+    return report(placed(counted, targets), targets, counted)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lumaspark.llm.mixing import mix, plan, position, report, tokenizer, with_tokens
+from lumaspark.llm.mixing import mix, plan, position, ranks_of, report, tokenizer, with_tokens
 
 
 def test_plan():
@@ -28,7 +28,7 @@ def _fixture(spark):
 def test_mix(spark):
     counted, targets = _fixture(spark)
     counted = counted.cache()
-    enc = tokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    enc = tokenizer(ranks_of("/opt/tokenizers/byte_bpe_50k.tiktoken"))
     assert counted.count() == 3002
     assert {r["n_tokens"] for r in counted.where("doc_id in (5000, 5001)").collect()} == {0}
     got = mix(counted, targets, in_bucket=100).collect()
