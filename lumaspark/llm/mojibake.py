@@ -3,33 +3,42 @@
 Adjacent characters are scored by their mutual information in the whole corpus. Maximum-scoring
 segments isolate improbable runs; only inside those runs inverse mappings are tried, and a mapping
 is accepted when the repaired run is more probable in the corpus than the run as it stands.
+
+Damage that is common in a corpus looks probable there, so the counts are made in two rounds: words
+that the counts of the first round explain better as damaged are counted as what they were.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
-import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .lookalike import OTHER, script_of
 
 #: Pairs are counted under a hash of so many bits: the table's size is fixed, whatever the corpus.
 PAIR_BITS = 20
 #: Code points above this are counted together.
 TOP = 0x20000
-#: Share of the corpus that stands in for a character's missing evidence.
-SHRINK = 3e-4
-#: Kinds of characters, for the mutual information of neighbouring kinds.
-KINDS = 16
-#: Pairs below this mutual information (nats) count as improbable.
-LEVEL = 1.5
+#: Shares of the corpus that stand in for the missing evidence of a rare character, and of a pair that
+#: only damaged words had.
+SHRINK, UNSEEN = 1e-4, 1e-9
+#: Pairs below this mutual information (nats) count as improbable, that is, those which their
+#: characters' independence would make a good three times as frequent as they are.
+LEVEL = -1.2
+#: No pair speaks more than this (nats) against its run being improbable.
+CAP = 3.0
+#: A run as improbable as this (nats) is reported even if no mapping undoes it: two common letters on
+#: either side of one that only damaged words have.
+BROKEN = 12.0
 #: Gain in log-likelihood (nats) that a repair must bring.
 MARGIN = 2.0
 #: The gain asked of a mix-up of two single-byte encodings, which any text could have undergone.
@@ -52,21 +61,24 @@ WRONG_READINGS = [
 ]
 
 
-def _table(codec: str) -> dict[str, int] | None:
-    """Character to byte for a single-byte encoding; bytes it leaves out are read as Latin-1."""
-    try:
-        out = {}
+def _table(codec: str) -> dict[int, int] | None:
+    """Character to byte for a single-byte encoding; bytes it leaves out are read as Latin-1, and so is
+    the whole of Latin-1 beside Windows-1252."""
+    out = {b: b for b in range(128)}
+    for b in range(128, 256):
+        try:
+            ch = bytes([b]).decode(codec)
+        except UnicodeDecodeError:
+            ch = chr(b)
+        except LookupError:
+            return None
+        if len(ch) != 1:
+            return None
+        out.setdefault(ord(ch), b)
+    if codec == "cp1252":
         for b in range(128, 256):
-            try:
-                ch = bytes([b]).decode(codec)
-            except UnicodeDecodeError:
-                ch = chr(b)
-            if len(ch) != 1:
-                return None
-            out.setdefault(ch, b)
-        return out
-    except LookupError:
-        return None
+            out.setdefault(b, b)
+    return out
 
 
 _TABLES = {c: _table(c) for c in {r for r, _ in WRONG_READINGS} - {"gbk", "shift_jis"}}
@@ -75,20 +87,10 @@ _TABLES = {c: _table(c) for c in {r for r, _ in WRONG_READINGS} - {"gbk", "shift
 def to_bytes(text: str, codec: str) -> bytes | None:
     """The bytes a reader of ``codec`` had before it, or None if it can't show this text."""
     table = _TABLES.get(codec)
-    if table is None:
-        try:
-            return text.encode(codec)
-        except UnicodeEncodeError:
-            return None
-    if not all(ch in table or codec == "cp1252" and ch < "Ā" for ch in set(text) if ch >= "\x80"):
+    try:
+        return text.encode(codec) if table is None else codecs.charmap_encode(text, "strict", table)[0]
+    except UnicodeEncodeError:
         return None
-    out = bytearray()
-    for ch in text:
-        if ch < "\x80":
-            out.append(ord(ch))
-        else:
-            out.append(table.get(ch) or ord(ch))
-    return bytes(out)
 
 
 #: The no-break space that ends many two-byte letters is often flattened to a plain space.
@@ -103,11 +105,14 @@ def inverses(run: str) -> Iterator[tuple[str, str]]:
     for _ in range(DEPTH):
         after = []
         for text in level:
-            for form in (text, _FLATTENED.sub("\xa0", text)):
+            for form in dict.fromkeys((text, _FLATTENED.sub("\xa0", text))):
+                raws: dict[str, bytes | None] = {}
                 for read, wrote in WRONG_READINGS:
                     if tried[text] and wrote != "utf-8":
                         continue  # single-byte mix-ups don't pile up
-                    raw = to_bytes(form, read)
+                    if read not in raws:
+                        raws[read] = to_bytes(form, read)
+                    raw = raws[read]
                     if raw is None:
                         continue
                     try:
@@ -124,41 +129,14 @@ def inverses(run: str) -> Iterator[tuple[str, str]]:
         level = after
 
 
-def _kind(code: int) -> int:
-    """The kind of a character: case and script for letters, else digit, space, mark or symbol."""
-    ch = chr(code)
-    cat = unicodedata.category(ch)
-    if code < 128:
-        return 0 if ch == " " else 1 if ch.islower() else 2 if ch.isupper() else 3 if ch.isdigit() else 4
-    if cat[0] == "L":
-        name = unicodedata.name(ch, "")
-        if name.startswith("LATIN"):
-            return 5 if cat == "Ll" else 6
-        if name.startswith("CYRILLIC"):
-            return 7 if cat == "Ll" else 8
-        if name.startswith("GREEK"):
-            return 9 if cat == "Ll" else 10
-        return 11
-    return 12 if cat[0] == "C" else 13 if cat[0] == "P" else 14 if cat[0] == "M" else 15
-
-
-@lru_cache(maxsize=1)
-def kind_table() -> np.ndarray:
-    return np.fromiter((_kind(c) for c in range(TOP)), dtype=np.int64, count=TOP)
-
-
 @dataclass
 class PairModel:
     """Character and pair counts of a corpus. Its size is fixed: 2^20 pairs and 2^17 characters."""
 
     pairs: np.ndarray
     chars: np.ndarray
-    kinds: np.ndarray
 
     def __post_init__(self):
-        grid = self.kinds.reshape(KINDS, KINDS) + 0.01
-        share = grid / grid.sum()
-        self.kind_information = np.log(share / np.outer(share.sum(axis=1), share.sum(axis=0)))
         self.words: dict[str, bool] = {}
         self.repairs: dict[tuple, tuple] = {}
         self.total = max(float(self.chars.sum()), 1.0)
@@ -175,22 +153,17 @@ class PairModel:
         return (x >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
     def information(self, codes: np.ndarray) -> np.ndarray:
-        """Mutual information of each adjacent pair, shrunk where a character is rare.
-
-        Two rare characters that only ever meet inside damaged text look well associated, so the
-        information their kinds have on each other is the upper bound.
-        """
+        """Mutual information of each adjacent pair, shrunk where a character is rare: two rare
+        characters that only ever meet each other would look well associated."""
         a, b = codes[:-1], codes[1:]
-        joint = (self.pairs[self.slot(a, b)] + 0.01) / self.total
         p = self.chars / self.total
-        each = np.log(joint / ((p[a] + SHRINK) * (p[b] + SHRINK)))
-        kind = kind_table()
-        return np.minimum(each, self.kind_information[kind[a], kind[b]] + LEVEL)
+        return np.log((self.pairs[self.slot(a, b)] / self.total + UNSEEN) / ((p[a] + SHRINK) * (p[b] + SHRINK)))
 
     def improbability(self, text: str) -> np.ndarray:
-        """Score of each pair of the text between two spaces: positive where it is improbable."""
+        """Score of each pair of the text between two spaces: positive where it is improbable. Pairs of
+        plain ASCII are never damaged and count against a run."""
         codes = self.codes(f" {text} ")
-        score = LEVEL - self.information(codes)
+        score = np.maximum(LEVEL - self.information(codes), -CAP)
         wide = codes >= 128
         return np.where(wide[:-1] | wide[1:], score, np.minimum(score, -0.5))
 
@@ -237,10 +210,12 @@ def segments(scores: np.ndarray) -> list[tuple[int, int]]:
 
 
 _TOKEN = re.compile("[^ ]+")
+#: Words that aren't plain ASCII.
+_WIDE = re.compile(r"(?<= )[!-~]*[^ -~][^ ]*")
 
 
-def runs(text: str, model: PairModel) -> list[tuple[int, int]]:
-    """Improbable runs [start, end): segments of low mutual information, widened to whole words.
+def runs(text: str, model: PairModel) -> list[tuple[int, int, float]]:
+    """Improbable runs [start, end) and how improbable they are: segments of low mutual information, widened to whole words.
 
     The plain space after an improbable character belongs to its run only through the words around
     it; a run of neighbouring words is one run, since a wrong reading goes on over spaces.
@@ -248,17 +223,18 @@ def runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     if not any(model.doubtful(w) for w in text.split(" ")):
         return []
     score = model.improbability(text)
-    marked = np.zeros(len(text), dtype=bool)
+    worth = np.zeros(len(text))
     for start, end in segments(score):
-        marked[max(0, start - 1) : end] = True
-    out: list[tuple[int, int]] = []
+        worth[max(0, start - 1) : end] = score[start:end].sum()
+    out: list[tuple[int, int, float]] = []
     for m in _TOKEN.finditer(text):
         a, b = m.span()
-        if marked[a:b].any() and not text[a:b].isascii():
+        most = float(worth[a:b].max())
+        if most > 0 and not text[a:b].isascii():
             if out and out[-1][1] + 1 == a:
-                out[-1] = (out[-1][0], b)
+                out[-1] = (out[-1][0], b, max(most, out[-1][2]))
             else:
-                out.append((a, b))
+                out.append((a, b, most))
     return out
 
 
@@ -267,52 +243,60 @@ def mixed(word: str) -> bool:
     return len({s for s in map(script_of, word) if s} - {OTHER}) > 1
 
 
-def margin(how: str) -> float:
-    """The gain asked of a mapping."""
+def margin(how: str, counting: bool = False) -> float:
+    """The gain asked of a mapping; while counting, a word that is UTF-8 throughout need only be more
+    probable so read, since chance hardly makes it so."""
     wrote, _, read = how.partition("+")[0].partition(">")
     if wrote == "utf-8":
-        return MARGIN
+        return 0.0 if counting else MARGIN
     return RARE_MARGIN if wrote in RARE or read in RARE else SINGLE_MARGIN + 2.0 * (wrote == "iso8859_2")
 
 
 def mend(text: str, model: PairModel) -> tuple[bool, str, list[str]]:
     """(damaged, text as far as it can be had back, mappings undone).
 
-    A replacement character or a control character of the C1 range tells damage by itself. A run of
-    several words is mended as one or word by word, whichever gains more; a mapping found in one word
-    is believed more easily in the others.
+    A run is damaged if a mapping undoes it, if it holds a control or replacement character, which no
+    text has of itself, or if it is improbable beyond ``BROKEN``. A run of several words is mended as
+    one or word by word, whichever gains more; a mapping found in one word is believed more easily in
+    the others, and where UTF-8 was read wrongly no mix-up of single bytes is believed beside it.
     """
-    damaged, how = bool(_BAD.search(text)), []
-    fixes: list[tuple[int, int, str]] = []
+    damaged, how = False, []
+    fixes: list[tuple[int, int, str, str]] = []
     left: list[tuple[int, int]] = []
-    for start, end in runs(text, model):
+    for start, end, worth in runs(text, model):
+        damaged = damaged or worth >= BROKEN or bool(_BAD.search(text[start:end]))
         words = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
         whole = _best(text, start, end, model)
         each = [_best(text, a, b, model) for a, b in words if not text[a:b].isascii()] if len(words) > 1 else []
         if whole[0] is not None and whole[2] >= sum(e[2] for e in each):
-            fixes.append((start, end, whole[0]))
+            fixes.append((start, end, *whole[:2]))
             how.append(whole[1])
             continue
         for (a, b), (new, name, _) in zip([w for w in words if not text[w[0] : w[1]].isascii()], each):
             if new is None:
                 left.append((a, b))
             else:
-                fixes.append((a, b, new))
+                fixes.append((a, b, new, name))
                 how.append(name)
+    damaged = damaged or bool(fixes)
+    if any(h.startswith("utf-8") for h in how):
+        left += [f[:2] for f in fixes if not f[3].startswith("utf-8")]
+        fixes = [f for f in fixes if f[3].startswith("utf-8")]
+        how = [f[3] for f in fixes]
     if how:
         for a, b in left:
             new, name, _ = _best(text, a, b, model, frozenset(how))
-            if new is not None:
-                fixes.append((a, b, new))
+            if new is not None and name in how:
+                fixes.append((a, b, new, name))
     out, done = [], 0
-    for a, b, new in sorted(fixes):
+    for a, b, new, _ in sorted(fixes):
         out += [text[done:a], new]
         done = b
     out.append(text[done:])
-    return damaged or bool(fixes), "".join(out), how
+    return damaged, "".join(out), how
 
 
-def _best(text: str, a: int, b: int, model: PairModel, known: frozenset[str] = frozenset()) -> tuple[str | None, str, float]:
+def _best(text: str, a: int, b: int, model: PairModel, known: frozenset[str] = frozenset(), counting: bool = False) -> tuple[str | None, str, float]:
     """The most probable repair of text[a:b], its mapping and its gain over the margin."""
     before, after = (text[a - 1 : a] or " "), (text[b : b + 1] or " ")
     run = text[a:b]
@@ -323,7 +307,7 @@ def _best(text: str, a: int, b: int, model: PairModel, known: frozenset[str] = f
     as_is = model.likelihood(before + run + after)
     best, name, top = None, "", 0.0
     for new, how in inverses(run + "\xa0" if flat else run):
-        worth = model.likelihood(before + new + after) - as_is - (margin(how) - AGAIN if how in known else margin(how))
+        worth = model.likelihood(before + new + after) - as_is - margin(how, counting) + (AGAIN if how in known else 0.0)
         if worth > top and not any(mixed(w) for w in new.split()):
             best, name, top = new, how, worth
     if len(model.repairs) > 200_000:
@@ -332,46 +316,101 @@ def _best(text: str, a: int, b: int, model: PairModel, known: frozenset[str] = f
     return best, name, top
 
 
-def count_pairs(texts: DataFrame, text: str) -> DataFrame:
-    """(kind, slot, n): counts of hashed pairs (0), characters (1) and pairs of kinds (2).
+COUNTS = "kind int, slot int, word string, n long"
+
 
-    Every task adds its texts up in arrays of fixed size and sends one row per slot in use, so the
-    shuffle and the result are bounded by the arrays, not by the corpus. Null texts count nothing.
+def _rows(pairs: np.ndarray, chars: np.ndarray) -> Iterator[pd.DataFrame]:
+    for number, counts in enumerate((pairs, chars)):
+        at = np.flatnonzero(counts)
+        if len(at):
+            yield pd.DataFrame({"kind": np.full(len(at), number, dtype="int32"), "slot": at.astype("int32"), "word": None, "n": counts[at].round().astype("int64")})
+
+
+def _model(*counts: pd.DataFrame) -> PairModel:
+    arrays = [np.zeros(1 << PAIR_BITS), np.zeros(TOP)]
+    for pdf in counts:
+        for number, target in enumerate(arrays):
+            part = pdf[pdf["kind"] == number]
+            target[part["slot"].to_numpy(dtype="int64")] += part["n"].to_numpy()
+    return PairModel(*(np.maximum(a, 0).astype(np.float32) for a in arrays))
+
+
+def count_pairs(texts: DataFrame, text: str, times: str | None = None) -> DataFrame:
+    """(kind, slot, word, n): counts of hashed pairs (kind 0), of characters (1) and of words that
+    aren't plain ASCII (2). Null texts count nothing.
+
+    Every task adds pairs and characters up in arrays of fixed size and sends one row per slot in use;
+    there are twice as many tasks as cores, so that part of the shuffle is bounded whatever the corpus.
+
+    :param times: column with how often a text counts, which may be negative; once if not given.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = np.zeros(1 << PAIR_BITS, dtype=np.int64)
-        chars = np.zeros(TOP, dtype=np.int64)
-        kinds = np.zeros(KINDS * KINDS, dtype=np.int64)
-        kind = kind_table()
+        pairs, chars = np.zeros(1 << PAIR_BITS), np.zeros(TOP)
+        words: Counter = Counter()
+        flush = lambda: pd.DataFrame({"kind": np.full(len(words), 2, dtype="int32"), "slot": np.zeros(len(words), dtype="int32"), "word": list(words), "n": list(words.values())})
+        for pdf in batches:
+            for n in pdf["n"].unique().tolist():
+                known = [x for x in pdf["text"].to_numpy()[(pdf["n"] == n).to_numpy()] if x is not None]
+                for k in range(0, len(known), 2000):
+                    joined = " " + "  ".join(known[k : k + 2000]) + " "
+                    codes = PairModel.codes(joined)
+                    pairs += n * np.bincount(PairModel.slot(codes[:-1], codes[1:]), minlength=1 << PAIR_BITS)
+                    chars += n * np.bincount(codes, minlength=TOP)
+                    for w, m in Counter(_WIDE.findall(joined)).items():
+                        words[w] += n * m
+                    if len(words) > 100_000:
+                        yield flush()
+                        words.clear()
+        if words:
+            yield flush()
+        yield from _rows(pairs, chars)
+
+    few = texts.select(F.col(text).alias("text"), (F.col(times) if times else F.lit(1)).alias("n")).coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInPandas(run, COUNTS).groupBy("kind", "slot", "word").agg(F.sum("n").alias("n"))
+
+
+def count_mended(words: DataFrame, raw: PairModel) -> DataFrame:
+    """Corrections of the counts: every distinct word that ``raw`` explains better as damaged is taken
+    out and what it was put in, and a word with a control or replacement character is taken out."""
+    shared = words.sparkSession.sparkContext.broadcast((raw.pairs, raw.chars))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = PairModel(*shared.value)
+        pairs, chars = np.zeros(1 << PAIR_BITS), np.zeros(TOP)
+
+        def add(word: str, n: int) -> None:
+            codes = PairModel.codes(f" {word} ")
+            np.add.at(pairs, PairModel.slot(codes[:-1], codes[1:]), n)
+            np.add.at(chars, codes, n)
+
         for pdf in batches:
-            known = [x for x in pdf[text] if x is not None]
-            for k in range(0, len(known), 2000):
-                codes = PairModel.codes(" " + "  ".join(known[k : k + 2000]) + " ")
-                pairs += np.bincount(PairModel.slot(codes[:-1], codes[1:]), minlength=1 << PAIR_BITS)
-                chars += np.bincount(codes, minlength=TOP)
-                kinds += np.bincount(kind[codes[:-1]] * KINDS + kind[codes[1:]], minlength=KINDS * KINDS)
-        for number, counts in enumerate((pairs, chars, kinds)):
-            at = np.flatnonzero(counts)
-            if len(at):
-                yield pd.DataFrame({"kind": np.full(len(at), number, dtype="int32"), "slot": at.astype("int32"), "n": counts[at]})
-
-    return texts.select(text).mapInPandas(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-
-
-def pair_model(texts: DataFrame, text: str) -> PairModel:
-    """Fit the model on all texts; the driver gets at most 2^20 + 2^17 numbers."""
-    pdf = count_pairs(texts, text).toPandas()
-    arrays = [np.zeros(n, dtype=np.float32) for n in (1 << PAIR_BITS, TOP, KINDS * KINDS)]
-    for number, target in enumerate(arrays):
-        part = pdf[pdf["kind"] == number]
-        target[part["slot"].to_numpy()] = part["n"].to_numpy()
-    return PairModel(*arrays)
+            for word, n in zip(pdf["word"], pdf["n"]):
+                new = _best(word, 0, len(word), model, counting=True)[0]
+                if new is not None:
+                    add(word, -n)
+                    add(new, n)
+                elif _BAD.search(word):
+                    add(word, -n)
+        yield from _rows(pairs, chars)
+
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    return words.repartition(2 * cores).mapInPandas(run, COUNTS).groupBy("kind", "slot").agg(F.sum("n").alias("n"))
+
+
+def pair_model(texts: DataFrame, text: str, times: str | None = None) -> PairModel:
+    """Fit the model on all texts in two rounds; the driver gets at most 2^20 + 2^17 numbers twice.
+
+    The texts are read once: the second round needs only their distinct words, which stay distributed.
+    """
+    counts = checkpointed(count_pairs(texts, text, times))
+    raw = counts.where("kind < 2").select("kind", "slot", "n").toPandas()
+    return _model(raw, count_mended(counts.where("kind = 2 and n > 0").select("word", "n"), _model(raw)).toPandas())
 
 
 def make_mender(df: DataFrame, model: PairModel):
     """Column function text -> struct<damaged, mended, how>; the model (5 MB) is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.chars, model.kinds))
+    shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.chars))
     state: dict = {}
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -384,7 +423,7 @@ def make_mender(df: DataFrame, model: PairModel):
         for x in texts:
             if x is None:
                 rows.append((None, None, None))
-            elif x.isascii() and "\x7f" not in x:
+            elif x.isascii():
                 rows.append((False, x, None))
             else:
                 hit = memo.get(x)

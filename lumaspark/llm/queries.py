@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +15,33 @@ from .mojibake import mend_text, pair_model
 from .toxicity import THRESHOLD, fit_on, rates, score_posts
 
 
-def _comments(spark: SparkSession, sf_dir: str, once: bool) -> DataFrame:
-    """(rec_table, rec_id, text) of all texts of problem 1; ``once`` drops re-deliveries."""
-    jpeg = table(spark, sf_dir, "raw_jpeg").select("image_id", "comments")
-    tags = table(spark, sf_dir, "mkv_simple_tag").select("simple_tag_id", "tag_value")
-    info = table(spark, sf_dir, "mkv_info").select("file_id", "writing_app")
-    if once:
-        jpeg, tags, info = jpeg.dropDuplicates(["image_id"]), tags.dropDuplicates(["simple_tag_id"]), info.dropDuplicates(["file_id"])
-    parts = [
-        jpeg.select(F.lit("raw_jpeg").alias("rec_table"), F.col("image_id").alias("rec_id"), F.explode("comments").alias("text")),
-        tags.select(F.lit("mkv_simple_tag").alias("rec_table"), F.col("simple_tag_id").alias("rec_id"), F.col("tag_value").alias("text")),
-        info.select(F.lit("mkv_info").alias("rec_table"), F.col("file_id").alias("rec_id"), F.col("writing_app").alias("text")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("text is not null")
+COMMENTS = (("raw_jpeg", "image_id", "comments"), ("mkv_simple_tag", "simple_tag_id", "tag_value"), ("mkv_info", "file_id", "writing_app"))
+#: Ids of records sent again that are broadcast (8 bytes each); more are joined by shuffle.
+AGAIN_IDS = 1_000_000
+
+
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_table, rec_id, text) of all records of problem 1 as they were sent; raw_jpeg's texts are arrays."""
+    each = [table(spark, sf_dir, name).select(F.lit(name).alias("rec_table"), F.col(key).alias("rec_id"), (F.col(column) if name == "raw_jpeg" else F.array(column)).alias("texts")) for name, key, column in COMMENTS]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.explode("texts")).drop("texts").where("text is not null")
 
 
 def _mended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pair_model(_comments(spark, sf_dir, once=True), "text")
-    return mend_text(_comments(spark, sf_dir, once=False), "text", model).where("mend.damaged")
+    """Damaged texts. Every record counts once in the model, however often it was sent: all rows count,
+    those of records sent again are taken off, and one of each is put in. So ids are shuffled, and of
+    texts only those sent again."""
+    rows = _comments(spark, sf_dir)
+    again = rows.groupBy("rec_table", "rec_id").count().where("count > 1").select("rec_table", "rec_id").persist(StorageLevel.MEMORY_AND_DISK)
+    few = again.count() <= AGAIN_IDS
+    twice = rows.join(F.broadcast(again) if few else again, ["rec_table", "rec_id"], "left_semi")
+    weighted = rows.withColumn("n", F.lit(1)).unionByName(twice.withColumn("n", F.lit(-1))).unionByName(twice.dropDuplicates(["rec_table", "rec_id"]).withColumn("n", F.lit(1)))
+    model = pair_model(_texts(weighted), "text", "n")
+    again.unpersist()
+    return mend_text(_texts(rows), "text", model).where("mend.damaged")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lumaspark.llm.mojibake import inverses, mend_text, pair_model, segments
+from lumaspark.llm.mojibake import inverses, mend_text, pair_model, runs, segments
 
 PHRASES = ["Frühstück für Gäste", "Größe prüfen mit Gehör", "Garçon à la fenêtre", "Première séance voilà", "Зимний берег без монтажа", "Старая плёнка в пути", "Lição de órgão até amanhã", "Příliš dlouhý čas u řeky", "The last ferry at dusk", "夏の港 記録用"]
 
@@ -56,8 +56,22 @@ def test_corpus(spark):
     assert all(out[k]["mended"] == t for k, t in damaged.items())
     assert out[9999]["damaged"] is None and out[3001]["mended"] == ""
     assert out[3000]["mended"] == "caf�" and out[3000]["how"] is None
+    model = pair_model(df, "text")
+    clean = [t for k, t in enumerate(texts) if k not in found and not t.isascii()]
+    assert all(runs(texts[k], model) for k in found)  # all that is found comes from improbable runs ...
+    assert sum(bool(runs(t, model)) for t in clean) < 0.1 * len(clean)  # ... and few others have any
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "text string")
     assert mend_text(df, "text", pair_model(df, "text")).count() == 0
+
+
+def test_times(spark):
+    """A text counted twice and taken off once counts once."""
+    from lumaspark.llm.mojibake import count_pairs
+
+    df = spark.createDataFrame([("Größe", 1), ("Größe", 1), ("Größe", -1), (None, 1), ("déjà", 1)], "text string, n int")
+    one = spark.createDataFrame([("Größe",), ("déjà",)], "text string")
+    rows = lambda df: {tuple(r) for r in df.where("n <> 0").collect()}
+    assert rows(count_pairs(df, "text", "n")) == rows(count_pairs(one, "text"))
