@@ -7,13 +7,15 @@ words of a text is looked up; digits must agree exactly, letters within a thresh
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lookalike import Transducer
@@ -100,9 +102,12 @@ class Mapper:
     :param others: texts of other fields that may stand beside a name (a make before a model), also
         written together with it; they are never the answer.
     :param names: what ``names_of`` gives for the whole field, where ``entries`` are only a shard of it.
+    :param tree_only: look spans of words up in the tree and do nothing else: no words are taken apart,
+        no word beside a name is taken off, no shortened word is written out.
     """
 
-    def __init__(self, entries: list[tuple[int, str]], others: list[str] | None = None, names: tuple | None = None):
+    def __init__(self, entries: list[tuple[int, str]], others: list[str] | None = None, names: tuple | None = None, tree_only: bool = False):
+        self.tree_only = tree_only
         self.fold, self.longest, self.beside, self.joined = names or self.names_of([t for _, t in entries], others)
         self.by_key: dict[str, int] = {}
         self.split: list[tuple[int, list[str]]] = []
@@ -115,6 +120,12 @@ class Mapper:
         self.sizes = sorted(set(map(len, self.joined)), reverse=True)
         self.tree = BKTree(list(self.by_key))
         self.widest = max(map(len, self.by_key), default=0)
+        # entries by first word and by key, both in order, and a tree of the first words, for shortened words
+        self.first: dict[str, list[int]] = {}
+        for k, (_, words) in enumerate(self.split):
+            self.first.setdefault(words[0], []).append(k)
+        self.firsts, self.first_tree = sorted(self.first), BKTree(list(self.first))
+        self.keys = sorted(("".join(words), k) for k, (_, words) in enumerate(self.split))
         self.lines = "\n".join(["", *self.by_key, ""])
         self.memo: dict[str, tuple[int, str] | None] = {}
 
@@ -178,7 +189,7 @@ class Mapper:
                 hits: dict[int, tuple[int, str]] = {}
                 last: set[int] = set()
                 joined = "".join(words[start : end + 1])
-                for ref_id, entry in self.split:
+                for ref_id, entry in self._likely(words[start], words[end], joined, n):
                     if len(joined) >= 5 and "".join(entry).startswith(joined):
                         hits[ref_id] = (0, "".join(entry))
                     if len(entry) > n and entry[n] != words[end] and self._begins(entry[n], words[end], n > 0):
@@ -189,6 +200,18 @@ class Mapper:
                                 last.add(ref_id)
                 yield hits, last
 
+    def _likely(self, first: str, cut: str, joined: str, n: int) -> list[tuple[int, list[str]]]:
+        """The entries that a span of n words and a shortened one can mean: those whose key begins with it,
+        and those whose first word is near (or, if that is the shortened one, begins with it)."""
+        if n:
+            near = [w for _, w in self.first_tree.within(first, 1)]
+        else:
+            near = self.firsts[bisect_left(self.firsts, cut) : bisect_left(self.firsts, cut + chr(0x10FFFF))]
+        found = {k for w in near for k in self.first[w]}
+        if len(joined) >= 5:
+            found.update(k for _, k in self.keys[bisect_left(self.keys, (joined,)) : bisect_left(self.keys, (joined + chr(0x10FFFF),))])
+        return [self.split[k] for k in sorted(found)]
+
     @staticmethod
     def _begins(word: str, cut: str, slip: bool) -> bool:
         """Whether ``cut`` is the beginning of a word, perhaps with one slip."""
@@ -241,9 +264,9 @@ class Mapper:
             if best and exact and len("".join(words)) <= len(best[2]):
                 break
         if best is None:
-            hit = self._apart(words)
-            return hit[1:] if hit else self._short(text, words)
-        if best[1] >= 2:
+            hit = None if self.tree_only else self._apart(words)
+            return hit[1:] if hit else None if self.tree_only else self._short(text, words)
+        if best[1] >= 2 and not self.tree_only:
             short = self._short(text, words)
             if short:
                 return short
@@ -290,6 +313,8 @@ class Mapper:
                         out.append(("near", k, *hit, self.by_key[hit[1]]))
                     if self._longer(k):
                         out.append(("longer", k, 0, "", 0))
+        if self.tree_only:
+            return out
         if not any(o[0] == "near" for o in out) and (hit := self._apart(words)):
             out.append(("apart", str(hit[0]), hit[2], hit[3], hit[1]))
         for n, (hits, last) in enumerate(self._shortened(text, words)):
@@ -331,10 +356,11 @@ class Mapper:
                 return hit
         return best[2], best[0], best[1]
 
-    @staticmethod
-    def _bare(key: str) -> list[str]:
+    def _bare(self, key: str) -> list[str]:
         """The key, and what is left of it without a word written onto it."""
         keys = [key]
+        if self.tree_only:
+            return keys
         if key.startswith("lib"):
             keys.append(key[3:])
         keys += [key[: -len(b)] for b in BESIDE if key.endswith(b) and len(key) > len(b) + 2]
@@ -346,31 +372,28 @@ def has_sign(text: Column) -> Column:
     return text.rlike(r"[\p{L}\p{N}]")
 
 
-def mappers_of(entries: dict[str, list[tuple[int, str]]]) -> dict[str, Mapper]:
+def mappers_of(entries: dict[str, list[tuple[int, str]]], tree_only: bool = False) -> dict[str, Mapper]:
     """A mapper for each field; the entries of the other fields may stand before a name."""
-    return {f: Mapper(e, [t for g, o in entries.items() if g != f for _, t in o]) for f, e in entries.items()}
+    return {f: Mapper(e, [t for g, o in entries.items() if g != f for _, t in o], tree_only=tree_only) for f, e in entries.items()}
 
 
-def make_mapper(entries: dict[str, list[tuple[int, str]]]):
-    """Column function (field, text) -> struct<ref_id, distance> over the entries of each field."""
-    state: dict = {}
+def make_mapper(spark: SparkSession, mappers: dict[str, Mapper]):
+    """Column function (field, text) -> struct<ref_id, distance>; the mappers, built once, are broadcast."""
+    shared = spark.sparkContext.broadcast(mappers)
+    memo: dict = {}
 
     def run(field: pd.Series, text: pd.Series) -> pd.DataFrame:
-        if "m" not in state:
-            state["m"] = mappers_of(entries)
-            state["memo"] = {}
-        memo = state["memo"]
         if len(memo) > 200_000:
             memo.clear()
         ids, far = [], []
         for f, x in zip(field, text):
-            if x is None or f not in state["m"]:
+            if x is None or f not in shared.value:
                 ids.append(None)
                 far.append(None)
                 continue
             hit = memo.get((f, x), False)
             if hit is False:
-                hit = state["m"][f].find(x)
+                hit = shared.value[f].find(x)
                 if len(x) < 400:
                     memo[(f, x)] = hit
             ids.append(hit[0] if hit else 0)
@@ -380,63 +403,75 @@ def make_mapper(entries: dict[str, list[tuple[int, str]]]):
     return F.pandas_udf(run, "ref_id long, distance int")
 
 
-#: A reference list above this many entries isn't broadcast but split into shards.
-BROADCAST_ENTRIES = 50_000
+#: A reference list above this many entries is split into shards of so many; a tree of them is built
+#: in a few seconds.
+BROADCAST_ENTRIES = 5_000
 
 
-def map_values(df: DataFrame, field: Column, text: Column, refs: DataFrame, to: str = "match", broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def map_values(df: DataFrame, field: Column, text: Column, refs: DataFrame, to: str = "match", broadcast_entries: int = BROADCAST_ENTRIES, tree_only: bool = False) -> DataFrame:
     """Add struct column ``to`` (ref_id, distance): the entry of ``refs`` each text means.
 
     ``refs`` has ref_id, field_name, entry_name. ref_id is 0 and distance null where no entry is
     within reach; both are null where the text or its field is null or the field has no entries.
     Rows are kept as they are, repeated ones too. Up to ``broadcast_entries`` entries travel to
     every worker as one tree; a longer list is split into shards (see ``map_values_sharded``).
+    ``tree_only`` leaves out the rules beside the tree (see ``Mapper``).
     """
     rows = refs.where("entry_name is not null and ref_id is not null").select("field_name", "ref_id", "entry_name").limit(broadcast_entries + 1).collect()
     if len(rows) > broadcast_entries:
-        return map_values_sharded(df, field, text, refs, to, broadcast_entries)
+        return map_values_sharded(df, field, text, refs, to, broadcast_entries, tree_only)
     entries: dict[str, list[tuple[int, str]]] = {}
     for f, i, t in rows:
         entries.setdefault(f, []).append((i, t))
-    return df.withColumn(to, make_mapper(entries)(field, text))
+    return df.withColumn(to, make_mapper(df.sparkSession, mappers_of(entries, tree_only))(field, text))
+
+
+_PARTS = ["kind", "at", "distance", "key", "ref_id"]
+_CANDIDATES = "array<struct<kind:string,at:string,distance:int,key:string,ref_id:long>>"
+
 
+def _shard(spark: SparkSession, mappers: bytes):
+    """Column function (field, text) -> all that a shard can add to the answer."""
+    shared = spark.sparkContext.broadcast(mappers)
+    state: dict[str, Mapper] = {}
 
-def map_values_sharded(df: DataFrame, field: Column, text: Column, refs: DataFrame, to: str = "match", per_shard: int = BROADCAST_ENTRIES, salts: int = 16) -> DataFrame:
+    def run(field: pd.Series, text: pd.Series) -> pd.Series:
+        if not state:
+            state.update(pickle.loads(shared.value))
+        return pd.Series([[dict(zip(_PARTS, c)) for c in state[f].candidates(t)] if f in state else [] for f, t in zip(field, text)], dtype="object")
+
+    return F.pandas_udf(run, _CANDIDATES)
+
+
+def map_values_sharded(df: DataFrame, field: Column, text: Column, refs: DataFrame, to: str = "match", per_shard: int = BROADCAST_ENTRIES, tree_only: bool = False) -> DataFrame:
     """The same result for a list too long for one worker's tree.
 
-    Each shard of the list meets every distinct text once and gives its candidates; what they mean
-    is settled where those of all shards are together. Every shard knows the names of all entries
-    (``Mapper.names_of``), but has only its own in a tree. Texts are salted, so no task gets all of
-    them.
+    Each shard of the list, built in a task of its own and broadcast, meets every distinct text where
+    that lies and gives its candidates; what they mean is settled where those of all shards are
+    together. Every shard knows the names of all entries (``Mapper.names_of``), but has only its own in
+    a tree. The driver reads the list, so it must fit there; texts stay distributed.
     """
+    spark = df.sparkSession
     clean = refs.where("entry_name is not null and ref_id is not null")
     texts_of: dict[str, list[str]] = {}
-    total = 0
     for f, t in clean.select("field_name", "entry_name").toLocalIterator():
         texts_of.setdefault(f, []).append(t)
-        total += 1
-    shards = -(-total // per_shard) or 1
-    names = df.sparkSession.sparkContext.broadcast({f: Mapper.names_of(own, [t for g, o in texts_of.items() if g != f for t in o]) for f, own in texts_of.items()})
-    texts = df.select(field.alias("_f"), text.alias("_t")).where("_f is not null and _t is not null").distinct()
-    salt = F.pmod(F.xxhash64("_t"), F.lit(salts)).cast("int")
-    asked = texts.withColumn("_salt", salt).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = (
-        clean.select("ref_id", "field_name", "entry_name", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int").alias("_shard"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = {f: list(zip(g["ref_id"], g["entry_name"])) for f, g in right.groupby("field_name")}
-        mappers = {f: Mapper(own.get(f, []), names=names.value[f]) for f in set(left["_f"]) & set(names.value)}
-        out = [(f, t, *c) for f, t in zip(left["_f"], left["_t"]) if f in mappers for c in mappers[f].candidates(t)]
-        return pd.DataFrame(out, columns=["_f", "_t", *parts])
+    shards = -(-sum(map(len, texts_of.values())) // per_shard) or 1
+    names = spark.sparkContext.broadcast({f: Mapper.names_of(own, [t for g, o in texts_of.items() if g != f for t in o]) for f, own in texts_of.items()})
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {f: list(zip(g["ref_id"].tolist(), g["entry_name"])) for f, g in pdf.groupby("field_name")}
+        return pd.DataFrame({"mappers": [pickle.dumps({f: Mapper(own.get(f, []), names=names.value[f], tree_only=tree_only) for f in names.value})]})
+
+    dealt = clean.select("field_name", "ref_id", "entry_name", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"))
+    built = [r[0] for r in dealt.groupBy("shard").applyInPandas(build, "mappers binary").toLocalIterator()]
+    asked = df.select(field.alias("_f"), text.alias("_t")).where(field.isin(*texts_of) & text.isNotNull()).distinct()
+    found = [asked.select("_f", "_t", F.explode(_shard(spark, bytes(b))(F.col("_f"), F.col("_t"))).alias("_c")) for b in built] or [asked.select("_f", "_t", F.explode(F.array().cast(_CANDIDATES)).alias("_c"))]
 
     def settle(all_candidates: pd.Series) -> pd.DataFrame:
-        hits = [Mapper.settle([tuple(c[p] for p in parts) for c in cs]) for cs in all_candidates]
+        hits = [Mapper.settle([tuple(c[p] for p in _PARTS) for c in cs]) for cs in all_candidates]
         return pd.DataFrame({"ref_id": pd.array([h[0] if h else 0 for h in hits], dtype="Int64"), "distance": pd.array([h[1] if h else None for h in hits], dtype="Int32")})
 
-    parts = ["kind", "at", "distance", "key", "ref_id"]
-    found = asked.groupBy("_shard", "_salt").cogroup(held.groupBy("_shard", "_salt")).applyInPandas(meet, "_f string, _t string, kind string, at string, distance int, key string, ref_id long")
-    best = found.groupBy("_f", "_t").agg(F.collect_list(F.struct(*parts)).alias("_c")).select("_f", "_t", F.pandas_udf(settle, "ref_id long, distance int")("_c").alias(to))
+    best = reduce(DataFrame.unionByName, found).groupBy("_f", "_t").agg(F.collect_list("_c").alias("_c")).select("_f", "_t", F.pandas_udf(settle, "ref_id long, distance int")("_c").alias(to))
     keyed = df.withColumn("_kf", field).withColumn("_kt", text)
     return keyed.join(best, (keyed["_kf"] == best["_f"]) & (keyed["_kt"] == best["_t"]), "left").drop("_f", "_t", "_kf", "_kt")

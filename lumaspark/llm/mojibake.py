@@ -140,6 +140,7 @@ class PairModel:
         self.words: dict[str, bool] = {}
         self.repairs: dict[tuple, tuple] = {}
         self.total = max(float(self.chars.sum()), 1.0)
+        self.share = self.chars / self.total
         self.floor = 1e-7 * self.total
         self.kappa = 2e-5 * self.total
 
@@ -156,7 +157,7 @@ class PairModel:
         """Mutual information of each adjacent pair, shrunk where a character is rare: two rare
         characters that only ever meet each other would look well associated."""
         a, b = codes[:-1], codes[1:]
-        p = self.chars / self.total
+        p = self.share
         return np.log((self.pairs[self.slot(a, b)] / self.total + UNSEEN) / ((p[a] + SHRINK) * (p[b] + SHRINK)))
 
     def improbability(self, text: str) -> np.ndarray:

@@ -81,13 +81,19 @@ def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consistent(spark, sf_dir).groupBy("rec_table", "rec_id").agg(F.first("text").alias("text"), F.first("consistent").alias("consistent"))
 
 
-def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mapped(spark: SparkSession, sf_dir: str, tree_only: bool = False) -> DataFrame:
     refs = table(spark, sf_dir, "canon_ref")
     exif = table(spark, sf_dir, "exif_tag").where(F.col("tag_name").isin("Make", "Model")).select(F.lit("exif_tag").alias("rec_table"), F.col("exif_row_id").alias("rec_id"), F.col("tag_name").alias("field_name"), "text")
     apps = table(spark, sf_dir, "mkv_info").select(F.lit("mkv_info").alias("rec_table"), F.col("file_id").alias("rec_id"), F.lit("muxing_app").alias("field_name"), F.col("muxing_app").alias("text"))
     rows = exif.unionByName(apps).where(has_sign(F.col("text")))
     exact = refs.where("entry_name is not null").select("field_name", F.col("entry_name").alias("text")).distinct()
-    return map_values(rows.join(exact, ["field_name", "text"], "left_anti"), F.col("field_name"), F.col("text"), refs)
+    return map_values(rows.join(exact, ["field_name", "text"], "left_anti"), F.col("field_name"), F.col("text"), refs, tree_only=tree_only)
+
+
+def p5_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree alone: records whose text isn't an entry as it stands, with the nearest entry that a span
+    of its words is in reach of, or 0, and its distance."""
+    return _mapped(spark, sf_dir, tree_only=True).select("rec_table", "rec_id", "match.ref_id", "match.distance").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,5 +154,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mended, p2_found, p2_consistent, p5_found, p5_unmatched, p6_found, p6_items, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mended, p2_found, p2_consistent, p5_method, p5_found, p5_unmatched, p6_found, p6_items, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}

@@ -47,7 +47,7 @@ def test_columns(spark):
     rows = [("Make", "velmora", 1), ("Make", None, 2), (None, "velmora", 3), ("Make", "", 4), ("Make", "zzz", 5), ("Other", "velmora", 6), ("Make", "velmora", 1), ("Make", "x" * 50_000, 7)]
     df = spark.createDataFrame(rows, "field_name string, text string, ref_id int")
     refs = spark.createDataFrame([("Make", i, t) for i, t in MAKES], "field_name string, ref_id long, entry_name string")
-    for run in (map_values, lambda *a: map_values_sharded(*a, per_shard=2, salts=3)):
+    for run in (map_values, lambda *a: map_values_sharded(*a, per_shard=2)):
         out = {(r["ref_id"], r["match"] and r["match"]["ref_id"]) for r in run(df, F.col("field_name"), F.col("text"), refs).collect()}
         assert out == {(1, 1), (2, None), (3, None), (4, 0), (5, 0), (6, None), (7, 0)}
         assert run(df, F.col("field_name"), F.col("text"), refs).count() == len(rows)
@@ -72,7 +72,19 @@ def test_shards_settle_as_one(own, others, shards):
 def test_sharded_columns_are_the_same(spark):
     df = spark.createDataFrame([(f, t) for f in ("Make", "Model") for t in TEXTS], "field_name string, text string")
     refs = spark.createDataFrame([("Make", i, t) for i, t in MAKES] + [("Model", i, t) for i, t in MODELS], "field_name string, ref_id long, entry_name string")
-    runs = [lambda: map_values(df, F.col("field_name"), F.col("text"), refs), lambda: map_values_sharded(df, F.col("field_name"), F.col("text"), refs, per_shard=2, salts=3)]
+    runs = [lambda: map_values(df, F.col("field_name"), F.col("text"), refs), lambda: map_values_sharded(df, F.col("field_name"), F.col("text"), refs, per_shard=2)]
     one, other = [{(r["field_name"], r["text"]): r["match"] for r in run().collect()} for run in runs]
     assert one == other
     assert [other["Model", t]["ref_id"] for t in ("VelmoraVX20", "Velmora Duc.", "Dr.")] == [10, 13, 0]
+
+
+def test_tree_only(spark):
+    """The tree alone finds what is within reach, and leaves shortened and joined names."""
+    mapper = Mapper(MODELS, [t for _, t in MAKES], tree_only=True)
+    assert [(mapper.find(t) or (0,))[0] for t in ("vx 20", "Velmora VX-200", "Duches Mini", "Duc.", "VelmoraVX20", "Drumlinekit", "zzz")] == [10, 11, 14, 0, 0, 0, 0]
+    df = spark.createDataFrame([(f, t) for f in ("Make", "Model") for t in TEXTS], "field_name string, text string")
+    refs = spark.createDataFrame([("Make", i, t) for i, t in MAKES] + [("Model", i, t) for i, t in MODELS], "field_name string, ref_id long, entry_name string")
+    one, other = [{(r["field_name"], r["text"]): r["match"] for r in map_values(df, F.col("field_name"), F.col("text"), refs, broadcast_entries=n, tree_only=True).collect()} for n in (100, 4)]
+    assert one == other
+    held = {(f, t): Mapper(own, tree_only=True).find(t) for f, own in (("Make", MAKES), ("Model", MODELS)) for t in TEXTS}
+    assert {k: (v["ref_id"], v["distance"]) for k, v in one.items()} == {k: (v[0], v[1]) if v else (0, None) for k, v in held.items()}
