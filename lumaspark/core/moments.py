@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import sized
+
 SURE = 0.9
-#: Weight, in rows, of what a source says about the order of its dates.
-PRIOR_ROWS = 1000.0
+#: What a source says about the order of its dates counts as much as this share of its rows.
+PRIOR_SHARE = 0.2
 #: Rows each format is given before any are counted.
 FLOOR_ROWS = 0.01
 #: Rounds of expectation and maximisation.
@@ -146,54 +148,106 @@ def read(text: str, tz: str | None) -> tuple[list[tuple[int, int | None, str]],
     return out, None if out else why
 
 
-READINGS = "array<struct<k:int,utc:long,state:string>>"
-
-
-def _readings_udf():
-    memo: dict = {}
-
-    def run(text: pd.Series, tz: pd.Series) -> pd.DataFrame:
-        marks, utcs, states, why, others = [], [], [], [], []
-        if len(memo) > 200_000:
-            memo.clear()
-        for t, z in zip(text, tz):
-            if t is None:
-                marks.append(0), utcs.append(None), states.append(None), why.append(NO_FORMAT), others.append(None)
-                continue
-            hit = memo.get((t, z))
-            if hit is None:
-                found, reason = read(t, z)
-                mark = sum(1 << k for k, _, _ in found)
-                first = found[0] if found else (0, None, reason)
-                hit = (mark, first[1], first[2], reason, [{"k": k, "utc": u, "state": s} for k, u, s in found] if len(found) > 1 else None)
-                if len(t) < 200:
-                    memo[(t, z)] = hit
-            for out, x in zip((marks, utcs, states, why, others), hit):
-                out.append(x)
-        return pd.DataFrame({"marks": marks, "utc": pd.array(utcs, dtype="Int64"), "state": states, "why": why, "others": others})
-
-    return F.pandas_udf(run, f"marks int, utc long, state string, why string, others {READINGS}")
-
-
-def posteriors(marks: np.ndarray, counts: np.ndarray, order: str | None) -> np.ndarray:
-    """EM over the format mixture of one source.
+def mixture(marks: np.ndarray, counts: np.ndarray, order: str | None) -> np.ndarray:
+    """EM over the format mixture of one source: the share of each format.
 
     :param marks: bit sets of the valid readings; ``counts``: rows with each.
     :param order: what the source says of its all-number dates (dmy, mdy, ymd) or None.
-    :return: for each bit set the posterior of each format, rows summing to 1.
     """
     bits = (marks[:, None] >> np.arange(len(NAMES))) & 1
     prior = np.full(len(NAMES), FLOOR_ROWS)
     if order in _ALL_NUMBERS:
-        prior[NAMES.index(order)] += PRIOR_ROWS
+        prior[NAMES.index(order)] += max(1.0, PRIOR_SHARE * counts.sum())
     share = prior / prior.sum()
-    post = np.zeros(bits.shape)
     for _ in range(ROUNDS):
         post = bits * share
         post = post / np.maximum(post.sum(axis=1, keepdims=True), 1e-300)
         share = prior + (post * counts[:, None]).sum(axis=0)
         share = share / share.sum()
-    return post
+    return share
+
+
+def posteriors(marks: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each bit set of valid readings the posterior of each format, rows summing to 1."""
+    post = ((marks[:, None] >> np.arange(len(NAMES))) & 1) * share
+    return post / np.maximum(post.sum(axis=1, keepdims=True), 1e-300)
+
+
+#: Longer texts fit no format but for white space inside, and don't count in a mixture.
+LONGEST = 100
+
+
+def _classes(texts: DataFrame) -> DataFrame:
+    """(_src, _text, _layout, _one, _two): what settles which formats a text can be read under, that is, its
+    layout and whether its first two numbers can be a month or a day."""
+    head = F.substring(F.col("_t"), 1, 8)
+    first = F.regexp_extract(head, "^([0-9]{1,2})[^0-9]", 1)
+    second = F.regexp_extract(head, "^[0-9]{1,2}[^0-9]+([0-9]{1,2})(?:[^0-9]|$)", 1)
+    bucket = lambda n: F.when(n.isin("", "0", "00"), 0).when(F.length(n) == 1, 1).when(n < "13", 1).when(n < "32", 2).otherwise(3)
+    layout = F.regexp_replace(F.translate("_t", "012345678", "999999999"), r"[\p{L}]+", "a")
+    return texts.withColumn("_t", F.trim("_text")).select("_src", "_text", layout.alias("_layout"), first.alias("_a"), second.alias("_b")).select("_src", "_text", "_layout", bucket(F.col("_a")).alias("_one"), bucket(F.col("_b")).alias("_two"))
+
+
+def _marks(texts: pd.Series) -> pd.Series:
+    return pd.Series([sum(1 << k for k, _, _ in read(t, None)[0]) for t in texts], dtype="int32")
+
+
+def shares_of(df: DataFrame, text: str, source: str, src: DataFrame) -> DataFrame:
+    """(_src, _shares): the format mixture of each source.
+
+    Texts are counted by layout, without Python, and one text of each layout is read; so what is
+    shuffled and read is bounded by the layouts in use. A source is one group of at most 2^formats rows.
+    """
+    known = df.where((F.length(text) <= LONGEST) & F.col(text).isNotNull()).select(F.col(source).alias("_src"), F.col(text).alias("_text"))
+    classes = _classes(known).groupBy("_src", "_layout", "_one", "_two").agg(F.count("*").alias("_n"), F.min("_text").alias("_text"))
+    counts = classes.withColumn("_marks", F.pandas_udf(_marks, "int")("_text")).groupBy("_src", "_marks").agg(F.sum("_n").alias("_n"))
+    counts = counts.join(src.select(F.col(source).alias("_s"), "_order"), F.col("_src") == F.col("_s"), "left").drop("_s")
+
+    def em(pdf: pd.DataFrame) -> pd.DataFrame:
+        share = mixture(pdf["_marks"].to_numpy(dtype="int64"), pdf["_n"].to_numpy(dtype="float64"), pdf["_order"].iloc[0])
+        return pd.DataFrame({"_src": [pdf["_src"].iloc[0]], "_shares": [share.tolist()]})
+
+    return counts.groupBy("_src").applyInPandas(em, f"_src {df.schema[source].dataType.simpleString()}, _shares array<double>")
+
+
+MOMENT = "s long, format string, state string, posterior double"
+
+
+def _settle(text: str | None, tz: str | None, shares: np.ndarray | None) -> tuple:
+    """(UTC seconds, format, state, posterior) of a text under its source's mixture."""
+    if text is None:
+        return None, None, NO_FORMAT, 0.0
+    found, why = read(text, tz)
+    if not found:
+        return None, None, why, 0.0
+    weight = [float(shares[k]) if shares is not None else 1.0 for k, _, _ in found]
+    best = max(range(len(found)), key=lambda i: (weight[i], -i))
+    k, utc, state = found[best]
+    sure = weight[best] / sum(weight)
+    if len({u for _, u, _ in found}) > 1 and sure < SURE:  # readings that agree on the moment leave nothing open
+        return None, NAMES[k], AMBIGUOUS, sure
+    return utc, NAMES[k], state, sure
+
+
+def _settle_udf():
+    memo: dict = {}
+
+    def run(text: pd.Series, tz: pd.Series, shares: pd.Series) -> pd.DataFrame:
+        if len(memo) > 200_000:
+            memo.clear()
+        out = []
+        for t, z, w in zip(text, tz, shares):
+            key = (t, z, None if w is None else w.tobytes())
+            hit = memo.get(key)
+            if hit is None:
+                hit = _settle(t, z, w)
+                if t is None or len(t) < 200:
+                    memo[key] = hit
+            out.append(hit)
+        pdf = pd.DataFrame(out, columns=["s", "format", "state", "posterior"])
+        return pdf.assign(s=pd.array([h[0] for h in out], dtype="Int64"))
+
+    return F.pandas_udf(run, MOMENT)
 
 
 def normalise_moments(df: DataFrame, text: str, source: str, sources: DataFrame, to: str = "moment") -> DataFrame:
@@ -202,31 +256,12 @@ def normalise_moments(df: DataFrame, text: str, source: str, sources: DataFrame,
     :param sources: one row per source with columns ``source``'s name, tz and date_order; a source
         that isn't listed, or a null one, has no zone and no stated order.
     Null and empty texts give a null moment with state ``no_format``; an ambiguous text one with
-    state ``ambiguous``. Rows are neither dropped nor merged. The counts EM works on are one row per
-    source and set of readings, summed before the shuffle; each source is one group of at most
-    2^formats rows, and what is joined back is as small.
+    state ``ambiguous``. Rows are neither dropped nor merged. Each text is read once; its source's
+    zone and mixture are broadcast up to ``session.BROADCAST_ROWS`` sources and shuffled beyond.
     """
     src = sources.groupBy(source).agg(F.first("tz").alias("_tz"), F.first("date_order").alias("_order"))
-    rows = df.join(F.broadcast(src), source, "left").withColumn("_r", _readings_udf()(F.col(text), F.col("_tz")))
-
-    several = F.size(F.coalesce(F.col("_r.others"), F.array().cast(READINGS))) > 1
-    counts = rows.groupBy(source, F.col("_r.marks").alias("_marks")).agg(F.count("*").alias("_n"), F.first("_order").alias("_order"))
-
-    def em(pdf: pd.DataFrame) -> pd.DataFrame:
-        marks = pdf["_marks"].to_numpy(dtype="int64")
-        post = posteriors(marks, pdf["_n"].to_numpy(dtype="float64"), pdf["_order"].iloc[0])
-        return pd.DataFrame({source: pdf[source], "_marks": marks.astype("int32"), "_k": post.argmax(axis=1).astype("int32"), "_p": post.max(axis=1)})
-
-    kind = df.schema[source].dataType.simpleString()
-    chosen = counts.groupBy(source).applyInPandas(em, f"{source} {kind}, _marks int, _k int, _p double")
-    chosen = chosen.withColumnRenamed(source, "_src")
-    joined = rows.join(F.broadcast(chosen), rows[source].eqNullSafe(chosen["_src"]) & (F.col("_r.marks") == F.col("_marks")), "left")
-    picked = F.filter(F.col("_r.others"), lambda x: x["k"] == F.col("_k"))[0]
-    # readings that agree on the moment leave nothing open
-    agree = F.size(F.array_distinct(F.transform(F.col("_r.others"), lambda x: F.coalesce(x["utc"], F.lit(-(2**62)))))) == 1
-    open_ = several & ~agree & (F.coalesce("_p", F.lit(0.0)) < SURE)
-    state = F.when(F.col("_r.marks") == 0, F.coalesce("_r.why", F.lit(NO_FORMAT))).when(open_, F.lit(AMBIGUOUS)).when(several, picked["state"]).otherwise(F.col("_r.state"))
-    utc = F.when(open_ | (F.col("_r.marks") == 0), F.lit(None).cast("long")).when(several, picked["utc"]).otherwise(F.col("_r.utc"))
-    names = F.array(*[F.lit(n) for n in NAMES])
-    fmt = F.when(F.col("_r.marks") != 0, F.element_at(names, F.col("_k") + 1))
-    return joined.withColumn(to, F.struct(utc.alias("s"), fmt.alias("format"), state.alias("state"), F.coalesce("_p", F.lit(0.0)).alias("posterior"))).drop("_tz", "_order", "_r", "_src", "_marks", "_k", "_p")
+    per = shares_of(df, text, source, src)
+    tz = src.select(F.col(source).alias("_s"), "_tz")
+    per = sized(per.join(tz, F.col("_src") == F.col("_s"), "left").drop("_s"))
+    joined = df.join(per, df[source].eqNullSafe(per["_src"]), "left")
+    return joined.withColumn(to, _settle_udf()(F.col(text), F.col("_tz"), F.col("_shares"))).drop("_src", "_tz", "_shares")

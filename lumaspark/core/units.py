@@ -106,17 +106,21 @@ def unit_aliases(spellings: DataFrame, spelling: str, reference: DataFrame) -> D
     return asked.join(best, "asked").select("spelling", "name", "kind", "factor", "distance")
 
 
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
+
+
 def number_in(text: Column) -> Column:
-    """The number a text begins with, point or comma before the decimals; null if there is none."""
-    found = F.regexp_extract(F.trim(text), r"^([0-9]+(?:[.,][0-9]+)?)", 1)
+    """The first number in a text, point or comma before the decimals; null if there is none."""
+    found = F.regexp_extract(text, f"({_NUMBER})", 1)
     return F.when(found != "", F.translate(found, ",", ".").try_cast("double"))
 
 
 def unit_in(text: Column) -> Column:
-    """What follows the number a text begins with; empty if nothing does."""
-    return F.trim(F.regexp_replace(F.trim(text), r"^[0-9]+(?:[.,][0-9]+)?", ""))
+    """What stands before and after the first number of a text; empty if nothing does."""
+    return F.trim(F.regexp_replace(text, f"^([^0-9]*){_NUMBER}", "$1"))
 
 
-def to_dpi(value: Column, kind: Column, factor: Column) -> Column:
-    """Dots per inch, or null where value or unit are missing, zero or negative."""
-    return F.when((value > 0) & (kind == DENSITY), value * factor).when((value > 0) & (kind == PITCH), factor / value)
+def dpi_of(value: Column, unit: Column) -> Column:
+    """Dots per inch of a value in a unit (dots per inch of 1, or less than 0: a pitch of 1 in inches to
+    the power -1), or null where value or unit are missing, zero or negative."""
+    return F.when((value > 0) & (unit > 0), value * unit).when((value > 0) & (unit < 0), -unit / value)

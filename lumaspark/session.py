@@ -77,5 +77,5 @@ BROADCAST_ROWS = 50_000
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """The rows computed once and marked for broadcast, or the plan as it is if they are more than ``most``."""
-    rows = df.limit(most + 1).collect()
+    rows = df.limit(most + 1).repartition(1).collect()  # all partitions at once, not a few at a time
     return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

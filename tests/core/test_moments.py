@@ -5,8 +5,8 @@ from datetime import datetime, timezone
 import numpy as np
 import pytest
 
-from lumaspark.core.moments import AMBIGUOUS, NAMES, normalise_moments, posteriors, read
-from lumaspark.core.queries import p4_found
+from lumaspark.core.moments import AMBIGUOUS, NAMES, mixture, normalise_moments, posteriors, read
+from lumaspark.core.queries import p4_classes, p4_found
 
 
 def utc(*t):
@@ -52,10 +52,12 @@ def test_read(text, tz, want):
 
 def test_em():
     dmy, mdy = 1 << NAMES.index("dmy"), 1 << NAMES.index("mdy")
-    marks, counts = np.array([dmy, mdy, dmy | mdy]), np.array([90.0, 0.0, 60.0])
-    assert posteriors(marks, counts, None)[2, NAMES.index("dmy")] > 0.99
-    assert posteriors(marks, np.array([50.0, 50.0, 60.0]), None)[2].max() == pytest.approx(0.5, abs=0.01)
-    assert posteriors(marks, np.array([0.0, 0.0, 5.0]), "mdy")[2, NAMES.index("mdy")] > 0.99
+    marks = np.array([dmy, mdy, dmy | mdy])
+    post = lambda counts, order: posteriors(marks, mixture(marks, np.array(counts), order))[2]
+    assert post([90.0, 0.0, 60.0], None)[NAMES.index("dmy")] > 0.99
+    assert post([50.0, 50.0, 60.0], None).max() == pytest.approx(0.5, abs=0.01)
+    assert post([0.0, 0.0, 5.0], "mdy")[NAMES.index("mdy")] > 0.99
+    assert post([9e6, 1e5, 6e6], "mdy")[NAMES.index("dmy")] > post([9e6, 1e5, 6e6], "dmy")[NAMES.index("mdy")]
 
 
 def test_column(spark):
@@ -82,3 +84,17 @@ def test_pairs(spark, tmp_path):
     spark.createDataFrame(images, "image_id long, body_serial string").write.parquet(f"{tmp_path}/raw_jpeg.parquet")
     spark.createDataFrame([("a", "UTC", "dmy")], "origin string, tz string, date_order string").write.parquet(f"{tmp_path}/origin.parquet")
     assert {tuple(r) for r in p4_found(spark, str(tmp_path)).collect()} == {(1, 2), (2, 4)}
+
+
+def test_classes_and_hot_moments(spark, tmp_path, monkeypatch):
+    """A stuck clock: all pairs of a hot moment in parts, and its class without pairs."""
+    from lumaspark.core import queries
+
+    monkeypatch.setattr(queries, "PAIR_PART", 7)
+    tags = [(k, k // 2, "DateTime", "a", "2023:07:08 17:15:10") for k in range(60)] + [(99, 50, "DateTime", "a", "2024:07:08 17:15:10")]
+    spark.createDataFrame(tags, "exif_row_id long, image_id long, tag_name string, origin string, text string").write.parquet(f"{tmp_path}/exif_tag.parquet")
+    spark.createDataFrame([(k, "s") for k in range(51)], "image_id long, body_serial string").write.parquet(f"{tmp_path}/raw_jpeg.parquet")
+    spark.createDataFrame([("a", "UTC", "dmy")], "origin string, tz string, date_order string").write.parquet(f"{tmp_path}/origin.parquet")
+    got = [tuple(r) for r in p4_found(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60) if a // 2 != b // 2]
+    assert {tuple(r) for r in p4_classes(spark, str(tmp_path)).collect()} == {(k, 0, 58) for k in range(60)}
