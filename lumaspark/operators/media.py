@@ -36,7 +36,7 @@ def _dicts(names: str, rows: list[tuple]) -> list[dict]:
 
 
 SEGMENT = "array<struct<seq:int,marker:int,name:string,offset:long,length:long,payload:binary>>"
-TAG = "array<struct<ifd:string,tag_id:int,name:string,format:string,count:long,ints:array<decimal(20,0)>,text:string>>"
+TAG = "array<struct<ifd:string,tag_id:int,name:string,format:string,count:long,ints:array<decimal(20,0)>,text:string,error:string>>"
 CHUNK = "array<struct<seq:int,type:string,length:long,payload:binary,crc:long,crc_ok:boolean>>"
 ELEMENT = "array<struct<seq:int,parent_seq:int,depth:int,id:long,name:string,kind:string,position:long,data_offset:int,size:long,v_int:decimal(20,0),v_float:double,v_text:string,v_bin:binary>>"
 NAL = "array<struct<seq:int,position:long,kind:string,size:long,payload:binary>>"
@@ -50,7 +50,7 @@ SPS = (
     "max_num_ref_frames:long,gaps_in_frame_num_value_allowed:boolean,pic_width_in_mbs_minus1:long,pic_height_in_map_units_minus1:long,direct_8x8_inference:boolean,"
     "crop_left:long,crop_right:long,crop_top:long,crop_bottom:long,vui_present:boolean>"
 )
-AVCC = f"struct<profile:string,level:int,nal_length_size:int,n_sps:int,n_pps:int,sps:{SPS}>"
+AVCC = f"struct<profile:string,level:int,nal_length_size:int,n_sps:int,n_pps:int,sps:array<{SPS}>>"
 
 
 def jpeg_segments(content: Column) -> Column:
@@ -329,9 +329,9 @@ def blocks(df: DataFrame, key: str, content: str, el: DataFrame) -> DataFrame:
 
 def tags(el: DataFrame, key: str) -> DataFrame:
     """(key, target, name, text, bin): of global tags only the last Tag counts, those of a track are
-    merged and the last value of a name wins."""
+    merged and the last value of a name wins. SimpleTags inside others describe those and aren't given."""
     simple = fields_of(el, key, "SimpleTag", {"name": ("TagName", "v_text"), "text": ("TagString", "v_text"), "bin": ("TagBinary", "v_bin")}).withColumnRenamed("own", "s")
-    up = el.where("name = 'SimpleTag'").select(F.col(key).alias("_k"), F.col("seq").alias("s"), F.col("parent_seq").alias("tag"))
+    up = children(el, key, "Tag", "SimpleTag").select(F.col(key).alias("_k"), F.col("seq").alias("s"), F.col("parent_seq").alias("tag"))
     simple = simple.join(up, (simple[key] == up["_k"]) & (simple["s"] == up["s"])).drop("_k").drop(up["s"])
     targets = el.where("name = 'Targets'").select(F.col(key).alias("_k"), F.col("seq").alias("t"), F.col("parent_seq").alias("tag2"))
     uids = el.where("name = 'TagTrackUID'").select(F.col(key).alias("_k2"), F.col("parent_seq").alias("t2"), F.col("v_int").alias("uid"))
@@ -343,15 +343,12 @@ def tags(el: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "target", F.col("name")).agg(F.max_by(F.struct("text", "bin"), "s").alias("v")).select(key, "target", "name", "v.text", "v.bin")
 
 
-def paths(elements: Column, most: int = 8) -> Column:
-    """The array of elements with each one's path of names, worked out inside the row."""
+def paths(elements: Column) -> Column:
+    """The array of elements with each one's path of names, worked out inside the row, however deep."""
 
     def path(e: Column) -> Column:
-        out, up = e["name"], e["parent_seq"]
-        for _ in range(most):
-            parent = F.when(up.isNotNull(), elements[up])
-            out = F.when(up.isNotNull(), F.concat(parent["name"], F.lit("/"), out)).otherwise(out)
-            up = parent["parent_seq"]
-        return out
+        start = F.struct(e["name"].alias("path"), e["parent_seq"].alias("up"))
+        climb = lambda p, _: F.struct(F.concat(elements[p["up"]]["name"], F.lit("/"), p["path"]).alias("path"), elements[p["up"]]["parent_seq"].alias("up"))
+        return F.when(e["depth"] > 0, F.aggregate(F.sequence(F.lit(1), e["depth"]), start, climb)["path"]).otherwise(e["name"])
 
     return F.transform(elements, lambda e: F.struct(e["seq"].alias("seq"), path(e).alias("path")))

@@ -120,7 +120,7 @@ QUERIES = {
 }
 
 _MD5 = "k as (select o_orderkey, o_custkey, md5(o_orderkey::varchar) as h from orders)"
-_UE = f"{_MD5}, b as (select o_orderkey, lpad(bin(('0x' || substr(h, 1, 8))::bigint), 32, '0') as s from k), z as (select o_orderkey, s, instr(s, '1') - 1 as z from b), ue as (select o_orderkey, case when z >= 0 and 2 * z + 1 <= 32 then list_sum(list_transform(range(z + 1), lambda i: substr(s, z + 1 + i, 1)::bigint << (z - i))) - 1 end::bigint as value, case when z >= 0 and 2 * z + 1 <= 32 then 2 * z + 1 end::int as used from z)"
+_UE = f"{_MD5}, b as (select o_orderkey, {" || ".join(f"lpad(bin(('0x' || substr(h, {at}, 8))::bigint), 32, '0')" for at in (1, 9, 17, 25))} as s from k), z as (select o_orderkey, s, instr(s, '1') - 1 as z from b), ue as (select o_orderkey, case when z >= 0 and z < 63 then list_sum(list_transform(range(z + 1), lambda i: substr(s, z + 1 + i, 1)::bigint << (z - i))) - 1 end::bigint as value, case when z >= 0 and z < 63 then 2 * z + 1 end::int as used from z)"
 _BYTES = "b as (select doc_id, from_hex(x) as b, x, length(x) // 2 as n from (select doc_id, hex(encode(text)) as x from documents where text is not null))"
 
 

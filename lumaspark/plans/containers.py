@@ -237,7 +237,7 @@ def mkv_codec_private(spark: SparkSession, d: str) -> DataFrame:
     f = X.mkv_files(spark, d)
     el = f.select("file_id", F.explode(M.ebml_elements(F.col("content"))["value"]).alias("e")).select("file_id", "e.*")
     c = M.codec_configs(f, "file_id", "content", el)
-    return c.select("file_id", F.col("number").cast("long").alias("number"), "avc.profile", "avc.level", "avc.nal_length_size", "avc.sps.pic_width_in_mbs_minus1")
+    return c.select("file_id", F.col("number").cast("long").alias("number"), "avc.profile", "avc.level", "avc.nal_length_size", F.col("avc.sps")[0]["pic_width_in_mbs_minus1"].alias("pic_width_in_mbs_minus1"))
 
 
 def mkv_top_level(spark: SparkSession, d: str) -> DataFrame:
@@ -295,9 +295,9 @@ def avcc_config(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sps_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of the sequence parameter sets."""
-    a = X.avcc_records(spark, d).select("partkey", M.avcc(F.col("content"))["value"]["sps"].alias("s"))
-    return a.select("partkey", "s.profile_idc", "s.level", "s.chroma_format", "s.bit_depth_chroma_minus8", "s.max_num_ref_frames", "s.gaps_in_frame_num_value_allowed", "s.pic_width_in_mbs_minus1", "s.pic_height_in_map_units_minus1", "s.direct_8x8_inference", "s.crop_right", "s.crop_bottom")
+    """Fields of all sequence parameter sets of each record."""
+    a = X.avcc_records(spark, d).select("partkey", F.posexplode(M.avcc(F.col("content"))["value"]["sps"]).alias("seq", "s"))
+    return a.select("partkey", "seq", "s.profile_idc", "s.level", "s.chroma_format", "s.bit_depth_chroma_minus8", "s.max_num_ref_frames", "s.gaps_in_frame_num_value_allowed", "s.pic_width_in_mbs_minus1", "s.pic_height_in_map_units_minus1", "s.direct_8x8_inference", "s.crop_right", "s.crop_bottom")
 
 
 def h264_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -447,12 +447,12 @@ SQL: dict[str, str] = {
     "mkv_codec_private": f"with {_EV}, s as (select *, slot + 1 as size from f) select file_id, 1::bigint as number, case slot % 4 when 0 then case when size % 2 = 1 then 'ConstrainedBaseline' else 'Baseline' end when 1 then 'Main' when 2 then 'Extended' else 'High' end as profile, cast(10 + size as int) as level, cast(size % 4 + 1 as int) as nal_length_size, (slot % 120)::bigint as pic_width_in_mbs_minus1 from s",
     "mkv_top_level": f"with {_EV} select file_id, 'Ebml Segment' as names, true as complete from f",
     "mkv_seek": f"with {_EV} select file_id, 'Info' as target, (1000 + slot)::bigint as position from f union all select file_id, 'Tracks', (2000 + slot)::bigint from f",
-    "mkv_tags": f"with {_EV} select file_id, 'global' as target, 'TITLE' as name, 'Day ' || day as text, null as bin from f union all select file_id, 'global', 'COUNT', n::varchar, null from f union all select file_id, ({_UID} + 1))::varchar, 'BPS', slot::varchar, null from f union all select file_id, ({_UID} + 1))::varchar, 'KEEP', null, '0102' from f",
+    "mkv_tags": f"with {_EV} select file_id, 'global' as target, 'TITLE' as name, 'Day ' || day as text, null as bin from f union all select file_id, 'global', 'COUNT', n::varchar, null from f union all select file_id, ({_UID} + 1))::varchar, 'BPS', slot::varchar, null from f union all select file_id, ({_UID} + 1))::varchar, 'KEEP', null, repeat('0102', 12) from f",
     "mkv_blocks": f"with {_EV} select file_id, q * 0.25::double as seconds, (user_id % 3 + 1)::bigint as track, event_type = 'purchase' as keyframe, 'None' as lacing, count(*) as n, cast(sum(23 + event_id % 7) as bigint) as frame_bytes from ev group by 1, 2, 3, 4",
     "mkv_framerate": f"with {_EV} select file_id, n / ((last + 1)::double * 250000000 / 1e9) as framerate from f",
     "nal_units": f"with {_EV} select file_id, (user_id % 3 + 1)::bigint as track, 'Sei' as kind, count(*) as n, cast(sum(6) as bigint) as n_bytes from ev group by 1, 2 union all select file_id, (user_id % 3 + 1)::bigint, case when event_type = 'purchase' then 'IdrSlice' else 'Slice' end, count(*), cast(sum(9 + event_id % 7) as bigint) from ev group by 1, 2, 3",
-    "avcc_config": f"with s as ({_SPS}) select partkey, cast(10 + s as int) as level, cast(s % 4 + 1 as int) as nal_length_size, 1 as n_sps, 2 as n_pps from s",
-    "sps_fields": f"with s as ({_SPS}) select partkey, profile as profile_idc, cast(10 + s as int) as level, case when profile = 100 then 1 end::bigint as chroma_format, case when profile = 100 then 2 end::bigint as bit_depth_chroma_minus8, s::bigint as max_num_ref_frames, true as gaps_in_frame_num_value_allowed, (k % 120)::bigint as pic_width_in_mbs_minus1, (s % 60)::bigint as pic_height_in_map_units_minus1, s % 3 = 0 as direct_8x8_inference, case when s % 2 = 1 then s end::bigint as crop_right, case when s % 2 = 1 then 2 end::bigint as crop_bottom from s",
+    "avcc_config": f"with s as ({_SPS}) select partkey, cast(10 + s as int) as level, cast(s % 4 + 1 as int) as nal_length_size, cast(1 + k % 3 as int) as n_sps, 2 as n_pps from s",
+    "sps_fields": f"with s as (select *, unnest(range(1 + k % 3)) as i from ({_SPS})) select partkey, cast(i as int) as seq, profile as profile_idc, cast(10 + s as int) as level, case when profile = 100 then 1 end::bigint as chroma_format, case when profile = 100 then 2 end::bigint as bit_depth_chroma_minus8, s::bigint as max_num_ref_frames, true as gaps_in_frame_num_value_allowed, (k % 120)::bigint as pic_width_in_mbs_minus1, (s % 60)::bigint as pic_height_in_map_units_minus1, s % 3 = 0 as direct_8x8_inference, case when s % 2 = 1 then s end::bigint as crop_right, case when s % 2 = 1 then 2 end::bigint as crop_bottom from s",
     "h264_profile": f"with s as ({_SPS}) select partkey, case profile when 66 then case when s % 2 = 1 then 'ConstrainedBaseline' else 'Baseline' end when 77 then 'Main' when 88 then 'Extended' else 'High' end as profile from s",
     "parse_errors": f"with {_IMG} select image_id, [ 'invalid_value', 'unexpected_end', 'unknown_chunk', 'invalid_value', 'invalid_value', null, 'missing_chunk', null ][image_id % 8 + 1] as error from ids",
 }

@@ -6,68 +6,245 @@ import struct
 
 from .errors import MediaError
 
-# Element ids (hexadecimal, with their marker bits) and names, by kind, in the order of
-# their ids. The header's elements come first, then Matroska's.
-HEADER = {
-    "Binary": "BF Crc32, EC Void",
-    "Master": "4281 DocTypeExtension, 1A45DFA3 Ebml",
-    "String": "4282 DocType, 4283 DocTypeExtensionName",
-    "UnsignedInteger": "4284 DocTypeExtensionVersion, 4285 DocTypeReadVersion, 4286 EbmlVersion, 4287 DocTypeVersion, 42F2 EbmlMaxIDLength, 42F3 EbmlMaxSizeLength, "
-    "42F7 EbmlReadVersion",
-}
-MATROSKA = {
-    "Binary": "A1 Block, A3 SimpleBlock, A4 CodecState, A5 BlockAdditional, BF Crc32, EC Void, 41ED BlockAddIDExtraData, 4255 ContentCompSettings, "
-    "4444 SegmentFamily, 4485 TagBinary, 450D ChapProcessPrivate, 465C FileData, 47E2 ContentEncKeyID, 53AB SeekId, 63A2 CodecPrivate, "
-    "66A5 TrackTranslateTrackID, 6933 ChapProcessData, 69A5 ChapterTranslateID, 6E67 ChapterSegmentUID, 73A4 SegmentUuid, 7672 ProjectionPrivate, "
-    "3CB923 PrevUUID, 3EB923 NextUUID",
-    "Date": "4461 DateUTC",
-    "Float": "B5 SamplingFrequency, 4489 Duration, 55D1 PrimaryRChromaticityX, 55D2 PrimaryRChromaticityY, 55D3 PrimaryGChromaticityX, 55D4 PrimaryGChromaticityY, "
-    "55D5 PrimaryBChromaticityX, 55D6 PrimaryBChromaticityY, 55D7 WhitePointChromaticityX, 55D8 WhitePointChromaticityY, 55D9 LuminanceMax, "
-    "55DA LuminanceMin, 7673 ProjectionPoseYaw, 7674 ProjectionPosePitch, 7675 ProjectionPoseRoll, 78B5 OutputSamplingFrequency, "
-    "23314F TrackTimestampScale",
-    "Master": "80 ChapterDisplay, A0 BlockGroup, A6 BlockMore, AE TrackEntry, B6 ChapterAtom, B7 CueTrackPositions, BB CuePoint, DB CueReference, E0 Video, "
-    "E1 Audio, E2 TrackOperation, E3 TrackCombinePlanes, E4 TrackPlane, E9 TrackJoinBlocks, 41E4 BlockAdditionMapping, 45B9 EditionEntry, "
-    "47E7 ContentEncAESSettings, 4DBB Seek, 5034 ContentCompression, 5035 ContentEncryption, 55B0 Colour, 55D0 MasteringMetadata, 61A7 AttachedFile, "
-    "6240 ContentEncoding, 63C0 Targets, 6624 TrackTranslate, 67C8 SimpleTag, 6911 ChapProcessCommand, 6924 ChapterTranslate, 6944 ChapProcess, 7373 Tag, "
-    "75A1 BlockAdditions, 7670 Projection, 1043A770 Chapters, 114D9B74 SeekHead, 1254C367 Tags, 1549A966 Info, 1654AE6B Tracks, 18538067 Segment, "
-    "1941A469 Attachments, 1C53BB6B Cues, 1F43B675 Cluster",
-    "SignedInteger": "FB ReferenceBlock, 75A2 DiscardPadding",
-    "String": "86 CodecID, 41A4 BlockAddIDName, 437C ChapLanguage, 437D ChapLanguageBCP47, 437E ChapCountry, 447A TagLanguage, 447B TagLanguageBCP47, "
-    "4660 FileMediaType, 63CA TargetType, 22B59C Language, 22B59D LanguageBCP47",
-    "UnsignedInteger": "83 TrackType, 88 FlagDefault, 91 ChapterTimeStart, 92 ChapterTimeEnd, 96 CueRefTime, 98 ChapterFlagHidden, 9A FlagInterlaced, 9B BlockDuration, "
-    "9C FlagLacing, 9D FieldOrder, 9F Channels, A7 Position, AB PrevSize, B0 PixelWidth, B2 CueDuration, B3 CueTime, B9 FlagEnabled, BA PixelHeight, "
-    "D7 TrackNumber, E5 TrackPlaneUID, E6 TrackPlaneType, E7 Timestamp, EA CueCodecState, ED TrackJoinUID, EE BlockAddID, F0 CueRelativePosition, "
-    "F1 CueClusterPosition, F7 CueTrack, FA ReferencePriority, 41E7 BlockAddIDType, 41F0 BlockAddIDValue, 4254 ContentCompAlgo, 4484 TagDefault, "
-    "45BC EditionUID, 45DB EditionFlagDefault, 45DD EditionFlagOrdered, 46AE FileUID, 47E1 ContentEncAlgo, 47E8 AESSettingsCipherMode, "
-    "5031 ContentEncodingOrder, 5032 ContentEncodingScope, 5033 ContentEncodingType, 5378 CueBlockNumber, 53AC SeekPosition, 53B8 StereoMode, "
-    "53B9 OldStereoMode, 53C0 AlphaMode, 54AA PixelCropBottom, 54B0 DisplayWidth, 54B2 DisplayUnit, 54BA DisplayHeight, 54BB PixelCropTop, "
-    "54CC PixelCropLeft, 54DD PixelCropRight, 55AA FlagForced, 55AB FlagHearingImpaired, 55AC FlagVisualImpaired, 55AD FlagTextDescriptions, "
-    "55AE FlagOriginal, 55AF FlagCommentary, 55B1 MatrixCoefficients, 55B2 BitsPerChannel, 55B3 ChromaSubsamplingHorz, 55B4 ChromaSubsamplingVert, "
-    "55B5 CbSubsamplingHorz, 55B6 CbSubsamplingVert, 55B7 ChromaSitingHorz, 55B8 ChromaSitingVert, 55B9 ColourRange, 55BA TransferCharacteristics, "
-    "55BB Primaries, 55BC MaxCLL, 55BD MaxFALL, 55EE MaxBlockAdditionID, 56AA CodecDelay, 56BB SeekPreRoll, 6264 BitDepth, 63C3 ChapterPhysicalEquiv, "
-    "63C4 TagChapterUID, 63C5 TagTrackUID, 63C6 TagAttachmentUID, 63C9 TagEditionUID, 66BF TrackTranslateCodec, 66FC TrackTranslateEditionUID, "
-    "68CA TargetTypeValue, 6922 ChapProcessTime, 6955 ChapProcessCodecID, 69BF ChapterTranslateCodec, 69FC ChapterTranslateEditionUID, "
-    "6EBC ChapterSegmentEditionUID, 73C4 ChapterUID, 73C5 TrackUID, 7446 AttachmentLink, 7671 ProjectionType, 234E7A DefaultDecodedFieldDuration, "
-    "23E383 DefaultDuration, 2AD7B1 TimestampScale, 2EB524 UncompressedFourCC",
-    "Utf8": "85 ChapString, 4487 TagString, 45A3 TagName, 466E FileName, 467E FileDescription, 4D80 MuxingApp, 536E Name, 5654 ChapterStringUID, 5741 WritingApp, "
-    "7384 SegmentFilename, 7BA9 Title, 258688 CodecName, 3C83AB PrevFilename, 3E83BB NextFilename",
-}
-
-
-def registry(*parts: dict[str, str]) -> dict[int, tuple[str, str]]:
+# Elements of the EBML header, one a line: id (hexadecimal, with its marker bits), name, kind.
+HEADER = """
+BF Crc32 Binary
+EC Void Binary
+4281 DocTypeExtension Master
+4282 DocType String
+4283 DocTypeExtensionName String
+4284 DocTypeExtensionVersion UnsignedInteger
+4285 DocTypeReadVersion UnsignedInteger
+4286 EbmlVersion UnsignedInteger
+4287 DocTypeVersion UnsignedInteger
+42F2 EbmlMaxIDLength UnsignedInteger
+42F3 EbmlMaxSizeLength UnsignedInteger
+42F7 EbmlReadVersion UnsignedInteger
+1A45DFA3 Ebml Master
+"""
+# Elements of Matroska in the same form.
+MATROSKA = """
+80 ChapterDisplay Master
+83 TrackType UnsignedInteger
+85 ChapString Utf8
+86 CodecID String
+88 FlagDefault UnsignedInteger
+91 ChapterTimeStart UnsignedInteger
+92 ChapterTimeEnd UnsignedInteger
+96 CueRefTime UnsignedInteger
+98 ChapterFlagHidden UnsignedInteger
+9A FlagInterlaced UnsignedInteger
+9B BlockDuration UnsignedInteger
+9C FlagLacing UnsignedInteger
+9D FieldOrder UnsignedInteger
+9F Channels UnsignedInteger
+A0 BlockGroup Master
+A1 Block Binary
+A3 SimpleBlock Binary
+A4 CodecState Binary
+A5 BlockAdditional Binary
+A6 BlockMore Master
+A7 Position UnsignedInteger
+AB PrevSize UnsignedInteger
+AE TrackEntry Master
+B0 PixelWidth UnsignedInteger
+B2 CueDuration UnsignedInteger
+B3 CueTime UnsignedInteger
+B5 SamplingFrequency Float
+B6 ChapterAtom Master
+B7 CueTrackPositions Master
+B9 FlagEnabled UnsignedInteger
+BA PixelHeight UnsignedInteger
+BB CuePoint Master
+BF Crc32 Binary
+D7 TrackNumber UnsignedInteger
+DB CueReference Master
+E0 Video Master
+E1 Audio Master
+E2 TrackOperation Master
+E3 TrackCombinePlanes Master
+E4 TrackPlane Master
+E5 TrackPlaneUID UnsignedInteger
+E6 TrackPlaneType UnsignedInteger
+E7 Timestamp UnsignedInteger
+E9 TrackJoinBlocks Master
+EA CueCodecState UnsignedInteger
+EC Void Binary
+ED TrackJoinUID UnsignedInteger
+EE BlockAddID UnsignedInteger
+F0 CueRelativePosition UnsignedInteger
+F1 CueClusterPosition UnsignedInteger
+F7 CueTrack UnsignedInteger
+FA ReferencePriority UnsignedInteger
+FB ReferenceBlock SignedInteger
+41A4 BlockAddIDName String
+41E4 BlockAdditionMapping Master
+41E7 BlockAddIDType UnsignedInteger
+41ED BlockAddIDExtraData Binary
+41F0 BlockAddIDValue UnsignedInteger
+4254 ContentCompAlgo UnsignedInteger
+4255 ContentCompSettings Binary
+437C ChapLanguage String
+437D ChapLanguageBCP47 String
+437E ChapCountry String
+4444 SegmentFamily Binary
+4461 DateUTC Date
+447A TagLanguage String
+447B TagLanguageBCP47 String
+4484 TagDefault UnsignedInteger
+4485 TagBinary Binary
+4487 TagString Utf8
+4489 Duration Float
+450D ChapProcessPrivate Binary
+45A3 TagName Utf8
+45B9 EditionEntry Master
+45BC EditionUID UnsignedInteger
+45DB EditionFlagDefault UnsignedInteger
+45DD EditionFlagOrdered UnsignedInteger
+465C FileData Binary
+4660 FileMediaType String
+466E FileName Utf8
+467E FileDescription Utf8
+46AE FileUID UnsignedInteger
+47E1 ContentEncAlgo UnsignedInteger
+47E2 ContentEncKeyID Binary
+47E7 ContentEncAESSettings Master
+47E8 AESSettingsCipherMode UnsignedInteger
+4D80 MuxingApp Utf8
+4DBB Seek Master
+5031 ContentEncodingOrder UnsignedInteger
+5032 ContentEncodingScope UnsignedInteger
+5033 ContentEncodingType UnsignedInteger
+5034 ContentCompression Master
+5035 ContentEncryption Master
+536E Name Utf8
+5378 CueBlockNumber UnsignedInteger
+53AB SeekId Binary
+53AC SeekPosition UnsignedInteger
+53B8 StereoMode UnsignedInteger
+53B9 OldStereoMode UnsignedInteger
+53C0 AlphaMode UnsignedInteger
+54AA PixelCropBottom UnsignedInteger
+54B0 DisplayWidth UnsignedInteger
+54B2 DisplayUnit UnsignedInteger
+54BA DisplayHeight UnsignedInteger
+54BB PixelCropTop UnsignedInteger
+54CC PixelCropLeft UnsignedInteger
+54DD PixelCropRight UnsignedInteger
+55AA FlagForced UnsignedInteger
+55AB FlagHearingImpaired UnsignedInteger
+55AC FlagVisualImpaired UnsignedInteger
+55AD FlagTextDescriptions UnsignedInteger
+55AE FlagOriginal UnsignedInteger
+55AF FlagCommentary UnsignedInteger
+55B0 Colour Master
+55B1 MatrixCoefficients UnsignedInteger
+55B2 BitsPerChannel UnsignedInteger
+55B3 ChromaSubsamplingHorz UnsignedInteger
+55B4 ChromaSubsamplingVert UnsignedInteger
+55B5 CbSubsamplingHorz UnsignedInteger
+55B6 CbSubsamplingVert UnsignedInteger
+55B7 ChromaSitingHorz UnsignedInteger
+55B8 ChromaSitingVert UnsignedInteger
+55B9 ColourRange UnsignedInteger
+55BA TransferCharacteristics UnsignedInteger
+55BB Primaries UnsignedInteger
+55BC MaxCLL UnsignedInteger
+55BD MaxFALL UnsignedInteger
+55D0 MasteringMetadata Master
+55D1 PrimaryRChromaticityX Float
+55D2 PrimaryRChromaticityY Float
+55D3 PrimaryGChromaticityX Float
+55D4 PrimaryGChromaticityY Float
+55D5 PrimaryBChromaticityX Float
+55D6 PrimaryBChromaticityY Float
+55D7 WhitePointChromaticityX Float
+55D8 WhitePointChromaticityY Float
+55D9 LuminanceMax Float
+55DA LuminanceMin Float
+55EE MaxBlockAdditionID UnsignedInteger
+5654 ChapterStringUID Utf8
+56AA CodecDelay UnsignedInteger
+56BB SeekPreRoll UnsignedInteger
+5741 WritingApp Utf8
+61A7 AttachedFile Master
+6240 ContentEncoding Master
+6264 BitDepth UnsignedInteger
+63A2 CodecPrivate Binary
+63C0 Targets Master
+63C3 ChapterPhysicalEquiv UnsignedInteger
+63C4 TagChapterUID UnsignedInteger
+63C5 TagTrackUID UnsignedInteger
+63C6 TagAttachmentUID UnsignedInteger
+63C9 TagEditionUID UnsignedInteger
+63CA TargetType String
+6624 TrackTranslate Master
+66A5 TrackTranslateTrackID Binary
+66BF TrackTranslateCodec UnsignedInteger
+66FC TrackTranslateEditionUID UnsignedInteger
+67C8 SimpleTag Master
+68CA TargetTypeValue UnsignedInteger
+6911 ChapProcessCommand Master
+6922 ChapProcessTime UnsignedInteger
+6924 ChapterTranslate Master
+6933 ChapProcessData Binary
+6944 ChapProcess Master
+6955 ChapProcessCodecID UnsignedInteger
+69A5 ChapterTranslateID Binary
+69BF ChapterTranslateCodec UnsignedInteger
+69FC ChapterTranslateEditionUID UnsignedInteger
+6E67 ChapterSegmentUID Binary
+6EBC ChapterSegmentEditionUID UnsignedInteger
+7373 Tag Master
+7384 SegmentFilename Utf8
+73A4 SegmentUuid Binary
+73C4 ChapterUID UnsignedInteger
+73C5 TrackUID UnsignedInteger
+7446 AttachmentLink UnsignedInteger
+75A1 BlockAdditions Master
+75A2 DiscardPadding SignedInteger
+7670 Projection Master
+7671 ProjectionType UnsignedInteger
+7672 ProjectionPrivate Binary
+7673 ProjectionPoseYaw Float
+7674 ProjectionPosePitch Float
+7675 ProjectionPoseRoll Float
+78B5 OutputSamplingFrequency Float
+7BA9 Title Utf8
+22B59C Language String
+22B59D LanguageBCP47 String
+23314F TrackTimestampScale Float
+234E7A DefaultDecodedFieldDuration UnsignedInteger
+23E383 DefaultDuration UnsignedInteger
+258688 CodecName Utf8
+2AD7B1 TimestampScale UnsignedInteger
+2EB524 UncompressedFourCC UnsignedInteger
+3C83AB PrevFilename Utf8
+3CB923 PrevUUID Binary
+3E83BB NextFilename Utf8
+3EB923 NextUUID Binary
+1043A770 Chapters Master
+114D9B74 SeekHead Master
+1254C367 Tags Master
+1549A966 Info Master
+1654AE6B Tracks Master
+18538067 Segment Master
+1941A469 Attachments Master
+1C53BB6B Cues Master
+1F43B675 Cluster Master
+"""
+
+
+def registry(*parts: str) -> dict[int, tuple[str, str]]:
     """id -> (name, kind); a later part adds to or overrides an earlier one."""
-    out = {}
-    for part in parts or (HEADER, MATROSKA):
-        for kind, text in part.items():
-            for item in text.split(", "):
-                ident, name = item.split(" ")
-                out[int(ident, 16)] = (name, kind)
-    return out
+    rows = (line.split() for part in parts or (HEADER, MATROSKA) for line in part.splitlines() if line)
+    return {int(ident, 16): (name, kind) for ident, name, kind in rows}
 
 
 REGISTRY = registry()
-#: Binary values up to this many bytes are read with the element, longer ones by position.
-EAGER = 20
+#: Binary values up to this many bytes are read with the element, longer ones by position but for those
+#: of the elements named.
+EAGER, WHOLE = 20, ("TagBinary", "SegmentUuid", "SeekId")
 
 
 def vint(data: bytes, at: int) -> tuple[int, int, int]:
@@ -124,7 +301,7 @@ def elements(data: bytes, known: dict[int, tuple[str, str]] | None = None, desce
             raise MediaError("unexpected_end", known.get(ident, ("Unknown", ""))[0])
         name, kind = known.get(ident, ("Unknown", "Binary"))
         row = {"seq": len(out), "parent_seq": parent, "depth": depth, "id": ident, "name": name, "kind": kind, "position": at, "data_offset": offset, "size": size, "v_int": None, "v_float": None, "v_text": None, "v_bin": None}
-        if payload and kind != "Master" and not (kind == "Binary" and size > EAGER):
+        if payload and kind != "Master" and not (kind == "Binary" and size > EAGER and name not in WHOLE):
             row |= value_of(kind, data[at + offset : at + offset + size])
         out.append(row)
         stack.append((at + offset + size, end, parent, depth))

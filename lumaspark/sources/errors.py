@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable
 from typing import Any
 
@@ -28,7 +29,7 @@ def attempt(parse: Callable[..., Any], *args: Any) -> tuple[Any, str | None]:
         return None, str(e)
     except (IndexError, EOFError, struct.error):
         return None, "unexpected_end"
-    except Exception as e:  # noqa: BLE001 - one broken file must not end the job
+    except (ValueError, LookupError, ArithmeticError, zlib.error) as e:  # what broken data cause; bugs of other kinds come through
         return None, f"invalid_data: {type(e).__name__}"
 
 

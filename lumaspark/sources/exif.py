@@ -58,7 +58,10 @@ def name_of(ifd: str, tag: int, fmt: str, count: int) -> str | None:
 
 
 def tags(payload: bytes) -> list[dict]:
-    """All tags of an EXIF payload: ifd (ifd0, sub, gps), id, name, format, count, ints, text.
+    """All tags of an EXIF payload: ifd (ifd0, sub, gps), id, name, format, count, ints, text, error.
+
+    A tag whose value runs past the end has an error and no value; the other tags are read all the same,
+    and those of a directory that is cut off as far as it goes.
 
     Rationals are pairs of numerator and denominator. Whole-number formats fill ``ints``, texts and
     undefined bytes ``text``; floating-point and signed-byte values are told by count only.
@@ -79,7 +82,7 @@ def tags(payload: bytes) -> list[dict]:
         if at in seen or at + 2 > len(tiff):
             continue
         seen.add(at)
-        for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
+        for k in range(min(struct.unpack_from(order + "H", tiff, at)[0], (len(tiff) - at - 2) // 12)):
             tag, fmt, count = struct.unpack_from(order + "HHL", tiff, at + 2 + 12 * k)
             if fmt not in FORMATS:
                 continue
@@ -88,16 +91,17 @@ def tags(payload: bytes) -> list[dict]:
             if size * count > 4:
                 start = struct.unpack_from(order + "L", tiff, start)[0]
             raw = tiff[start : start + size * count]
-            if len(raw) < size * count:
-                raise MediaError("unexpected_end", f"tag {tag:04x}")
             ints = text = None
+            if len(raw) < size * count:
+                out.append({"ifd": ifd, "tag_id": tag, "name": name_of(ifd, tag, name, count), "format": name, "count": count, "ints": None, "text": None, "error": "unexpected_end"})
+                continue
             if name in ("Ascii", "Undefined"):
                 text = raw.replace(b"\0", b"").decode("utf-8", "replace")
             elif name in ("UnsignedByte", "UnsignedShort", "UnsignedLong", "SignedShort", "SignedLong"):
                 ints = list(struct.unpack(f"{order}{count}{dict(UnsignedByte='B', UnsignedShort='H', UnsignedLong='L', SignedShort='h', SignedLong='l')[name]}", raw))
             elif name in ("UnsignedRational", "SignedRational"):
                 ints = list(struct.unpack(f"{order}{2 * count}{'L' if name[0] == 'U' else 'l'}", raw))
-            out.append({"ifd": ifd, "tag_id": tag, "name": name_of(ifd, tag, name, count), "format": name, "count": count, "ints": ints, "text": text})
+            out.append({"ifd": ifd, "tag_id": tag, "name": name_of(ifd, tag, name, count), "format": name, "count": count, "ints": ints, "text": text, "error": None})
             if tag == 0x8769 and ints:
                 waiting.append(("sub", ints[0]))
             elif tag == 0x8825 and ints:

@@ -112,7 +112,7 @@ def _mkv(file_id: int, day: int, slot: int, events: list[dict]) -> bytes:
     tags = element("Tags", [
         tag([], simple("TITLE", "old"), simple("GONE", "x")),
         tag([], simple("TITLE", f"Day {day}"), simple("COUNT", str(len(events)))),
-        tag([uid(1)], simple("BPS", "1"), simple("KEEP", b"\1\2")),
+        tag([uid(1)], simple("BPS", "1"), simple("KEEP", b"\1\2" * 12)),
         tag([uid(1)], simple("BPS", str(slot))),
     ])
     clusters = []
@@ -160,7 +160,8 @@ def _avcc(key: int, size: int) -> bytes:
     raw = video.write_bits(bits + [("u1", 0)])
     sps = b"\x67" + raw.replace(b"\0\0\0", b"\0\0\3\0").replace(b"\0\0\1", b"\0\0\3\1")
     pps = b"\x68\xee\x3c\x80"
-    return bytes([1, profile, constraints, 10 + size, 0xFC | size % 4, 0xE1]) + struct.pack(">H", len(sps)) + sps + bytes([2]) + 2 * (struct.pack(">H", len(pps)) + pps)
+    n = 1 + key % 3
+    return bytes([1, profile, constraints, 10 + size, 0xFC | size % 4, 0xE0 | n]) + n * (struct.pack(">H", len(sps)) + sps) + bytes([2]) + 2 * (struct.pack(">H", len(pps)) + pps)
 
 
 def avcc_records(spark: SparkSession, d: str) -> DataFrame:

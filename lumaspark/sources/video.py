@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from .errors import MediaError
+from .errors import MediaError, attempt
 
 # Names of the 32 NAL unit types, in the order of their numbers.
 NAL_NAMES = (
@@ -90,10 +90,11 @@ def sps(payload: bytes) -> dict:
 
 
 def avcc(data: bytes) -> dict:
-    """An AVC decoder configuration record with its first parameter set and the number of each."""
+    """An AVC decoder configuration record with all its sequence parameter sets and the number of each; the
+    name of a profile that isn't known is null."""
     if data[0] != 1:
         raise MediaError("invalid_value", f"version {data[0]}")
-    out: dict = {"profile": profile_name(data[1], data[2]), "level": data[3], "nal_length_size": (data[4] & 3) + 1}
+    out: dict = {"profile": attempt(profile_name, data[1], data[2])[0], "level": data[3], "nal_length_size": (data[4] & 3) + 1}
     at, sets = 6, {"sps": [], "pps": []}
     for what, n in (("sps", data[5] & 31), ("pps", None)):
         if n is None:
@@ -108,7 +109,7 @@ def avcc(data: bytes) -> dict:
                 raise MediaError("unexpected_element", NAL_NAMES[unit[0] & 31])
             sets[what].append(unit[1:])
             at += 2 + size
-    return out | {"n_sps": len(sets["sps"]), "n_pps": len(sets["pps"]), "sps": sps(sets["sps"][0]) if sets["sps"] else None}
+    return out | {"n_sps": len(sets["sps"]), "n_pps": len(sets["pps"]), "sps": [sps(u) for u in sets["sps"]]}
 
 
 def write_bits(fields: list[tuple[str, int]]) -> bytes:

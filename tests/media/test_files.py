@@ -102,3 +102,33 @@ def test_lazy_tree():
 def test_block_flags():
     b = ebml.simple_block(b"\x81\xff\xfe\x8d" + b"frame")
     assert (b["track"], b["ts_rel"], b["keyframe"], b["invisible"], b["lacing"], b["discardable"], b["frame_size"]) == (1, -2, True, True, "FixedSize", True, 5)
+
+
+def test_nothing_is_cut(spark):
+    """Long tag values, deep paths, all parameter sets, and EXIF tags beside a broken one."""
+    from pyspark.sql import functions as F
+
+    from lumaspark.functions.tables import AC_CHROMA, AC_LUMA
+    from lumaspark.operators import media as M
+    from lumaspark.sources import fixtures
+
+    values = [b"\1" * 21, b"\2" * (1 << 20), b""]
+    tag = lambda k, v: ebml.element("SimpleTag", [ebml.element("TagName", k), ebml.element("TagBinary", v)])
+    deep = ebml.element("TagName", "x")
+    for _ in range(12):
+        deep = ebml.element("SimpleTag", [deep])
+    content = ebml.element("Segment", [ebml.element("Tags", [ebml.element("Tag", [ebml.element("Targets", []), *[tag(f"n{k}", v) for k, v in enumerate(values)]]), ebml.element("Tag", [ebml.element("Targets", [ebml.element("TagTrackUID", 7)]), deep])])])
+    df = spark.createDataFrame([(1, bytearray(content))], "file_id int, content binary")
+    tree = df.select("file_id", M.ebml_elements(F.col("content"))["value"].alias("e"))
+    got = {r["name"]: r["bin"] for r in M.tags(tree.select("file_id", F.explode("e").alias("x")).select("file_id", "x.*"), "file_id").collect()}
+    assert [bytes(got[f"n{k}"]) for k in range(2)] == values[:2]
+    found = {r["path"] for r in tree.select(F.explode(M.paths(F.col("e"))).alias("p")).select("p.path").collect()}
+    assert "Segment/Tags/Tag/" + "SimpleTag/" * 12 + "TagName" in found and "Segment" in found
+    assert len(video.avcc(fixtures._avcc(5, 3))["sps"]) == 3
+    odd = bytearray(fixtures._avcc(5, 3))
+    odd[1] = 99
+    assert video.avcc(bytes(odd))["profile"] is None and len(video.avcc(bytes(odd))["sps"]) == 3
+    payload = exif.write({"ifd0": [(0x112, 3, 1, b"\0\6"), (0x110, 2, 6, b"model\0"), (0x10F, 2, 5, b"make\0")]})
+    tags = {t["tag_id"]: t for t in exif.tags(payload[:-6])}
+    assert tags[0x10F]["text"] == "make" and tags[0x112]["ints"] == [6] and tags[0x110]["error"] == "unexpected_end" and tags[0x10F]["error"] is None
+    assert sorted(AC_LUMA[1]) == sorted(AC_CHROMA[1]) and sum(AC_LUMA[0]) == len(AC_LUMA[1]) == 162 == sum(AC_CHROMA[0])
