@@ -247,6 +247,11 @@ REGISTRY = registry()
 EAGER, WHOLE = 20, ("TagBinary", "SegmentUuid", "SeekId")
 
 
+_TOP = ("Ebml", "Segment")
+#: Masters that may have an unknown size, and what ends them.
+ENDS = {"Segment": _TOP, "Cluster": (*_TOP, "SeekHead", "Info", "Tracks", "Chapters", "Cluster", "Cues", "Attachments", "Tags")}
+
+
 def vint(data: bytes, at: int) -> tuple[int, int, int]:
     """(length, value, raw) of a variable-size number."""
     if at >= len(data):
@@ -284,29 +289,39 @@ def elements(data: bytes, known: dict[int, tuple[str, str]] | None = None, desce
     :param known: the registry; elements it doesn't have are Binary with the name Unknown.
     :param descend: names of the masters to go into (all if None); others are one row each.
     :param payload: False leaves values out, so that only the structure is read.
+
+    Segments and clusters of unknown size, as live recordings have them, have a null size and end before
+    the first element that can't be inside them; they are always gone into.
     """
     known = REGISTRY if known is None else known
     out: list[dict] = []
-    stack = [(0, len(data), None, 0)]
+    # where to go on, the end, parent and depth there, and the master of unknown size around it
+    stack: list[tuple] = [(0, len(data), None, 0, None)]
     while stack:
-        at, end, parent, depth = stack.pop()
+        at, end, parent, depth, around = stack.pop()
         if at >= end:
             continue
         id_length, _, ident = vint(data, at)
         size_length, size, _ = vint(data, at + id_length)
         offset = id_length + size_length
-        if size == (1 << 7 * size_length) - 1:
-            raise MediaError("invalid_value", "unknown size")
-        if at + offset + size > end:
-            raise MediaError("unexpected_end", known.get(ident, ("Unknown", ""))[0])
         name, kind = known.get(ident, ("Unknown", "Binary"))
-        row = {"seq": len(out), "parent_seq": parent, "depth": depth, "id": ident, "name": name, "kind": kind, "position": at, "data_offset": offset, "size": size, "v_int": None, "v_float": None, "v_text": None, "v_bin": None}
+        while around and name in ENDS.get(around[0], ()):
+            _, parent, depth, around = around
+        unknown = size == (1 << 7 * size_length) - 1
+        if unknown and name not in ENDS:
+            raise MediaError("invalid_value", "unknown size")
+        if not unknown and at + offset + size > end:
+            raise MediaError("unexpected_end", name)
+        row = {"seq": len(out), "parent_seq": parent, "depth": depth, "id": ident, "name": name, "kind": kind, "position": at, "data_offset": offset, "size": None if unknown else size, "v_int": None, "v_float": None, "v_text": None, "v_bin": None}
         if payload and kind != "Master" and not (kind == "Binary" and size > EAGER and name not in WHOLE):
             row |= value_of(kind, data[at + offset : at + offset + size])
         out.append(row)
-        stack.append((at + offset + size, end, parent, depth))
+        if unknown:
+            stack.append((at + offset, end, row["seq"], depth + 1, (name, parent, depth, around)))
+            continue
+        stack.append((at + offset + size, end, parent, depth, around))
         if kind == "Master" and (descend is None or name in descend):
-            stack.append((at + offset, at + offset + size, row["seq"], depth + 1))
+            stack.append((at + offset, at + offset + size, row["seq"], depth + 1, None))
     return out
 
 

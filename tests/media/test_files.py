@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumaspark.operators import media as M
 from lumaspark.sources import ebml, exif, jpeg, png, raster, video
+from lumaspark.sources.errors import MediaError
 from lumaspark.sources.errors import attempt, failfast
 
 IM = np.stack(np.broadcast_arrays(*[np.mgrid[0:32, 0:48][k] * m % 256 for k, m in ((1, 5), (0, 7), (1, 3))]), -1).astype(np.uint8)
@@ -132,3 +133,17 @@ def test_nothing_is_cut(spark):
     tags = {t["tag_id"]: t for t in exif.tags(payload[:-6])}
     assert tags[0x10F]["text"] == "make" and tags[0x112]["ints"] == [6] and tags[0x110]["error"] == "unexpected_end" and tags[0x10F]["error"] is None
     assert sorted(AC_LUMA[1]) == sorted(AC_CHROMA[1]) and sum(AC_LUMA[0]) == len(AC_LUMA[1]) == 162 == sum(AC_CHROMA[0])
+
+
+def test_unknown_sizes():
+    """Live recordings: a segment and clusters whose size isn't known, the same tree as with sizes."""
+    block = lambda n: ebml.element("SimpleBlock", bytes([0x81, 0, n, 0]) + b"x" * n)
+    parts = [("Info", [ebml.element("MuxingApp", "m")]), ("Cluster", [ebml.element("Timestamp", 1), block(3), block(4)]), ("Cluster", [ebml.element("Timestamp", 2), block(5)]), ("Tags", [])]
+    live = lambda raw, n: raw[:n] + b"\x01" + b"\xff" * 7 + raw[n + 1 :]  # noqa: E731 - a size of one byte becomes an unknown one of eight
+    sized = ebml.element("Segment", [ebml.element(k, v) for k, v in parts])
+    body = b"".join(live(ebml.element(k, v), 4) if k == "Cluster" else ebml.element(k, v) for k, v in parts)
+    got = ebml.elements(live(ebml.element("Segment", []), 4) + body)
+    keep = lambda rows: [(r["seq"], r["parent_seq"], r["depth"], r["name"], r["v_int"], r["v_text"]) for r in rows]
+    assert keep(got) == keep(ebml.elements(sized)) and [r["name"] for r in got if r["size"] is None] == ["Segment", "Cluster", "Cluster"]
+    with pytest.raises(MediaError):
+        ebml.elements(live(ebml.element("Info", []), 4))
