@@ -7,13 +7,15 @@ Catalyst prunes the fields that nobody asks for. Null content gives no rows and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import bits
 from ..sources import convert, ebml, exif, jpeg, png, raster, video
@@ -314,17 +316,47 @@ def codec_configs(df: DataFrame, key: str, content: str, el: DataFrame) -> DataF
     return t.select(key, "number", "codec_id", "raw", config.alias("p")).select(key, "number", "codec_id", "raw", F.col("p.value").alias("avc"), F.col("p.error").alias("error"))
 
 
-def blocks(df: DataFrame, key: str, content: str, el: DataFrame) -> DataFrame:
-    """SimpleBlocks with their cluster's timestamp: (key, cluster_seq, seq, ts, track, ...).
+#: Blocks, and MB of their bytes, that are sent on at once.
+BLOCK_ROWS, BLOCK_MB = 10_000, 16
 
-    The block is cut out of the file by position, so long frames never pass through the tree.
+
+def blocks(df: DataFrame, key: str, content: str, raw: bool = True) -> DataFrame:
+    """SimpleBlocks with their cluster's timestamp: (key, cluster_seq, seq, cluster_ts, raw, track, ...).
+
+    A file is read where it lies and its blocks are sent on in parts, so no row holds a file beside a
+    block and nothing is shuffled. A file whose tree can't be read has no blocks.
+
+    :param raw: False leaves the blocks' bytes out.
     """
-    parts = el.where(F.col("name").isin("Timestamp", "SimpleBlock"))
-    stamp = F.max(F.when(F.col("name") == "Timestamp", F.col("v_int"))).over(Window.partitionBy(key, "parent_seq"))
-    rows = parts.withColumn("cluster_ts", stamp).where("name = 'SimpleBlock'").select(key, F.col("parent_seq").alias("cluster_seq"), "seq", "cluster_ts", (F.col("position") + F.col("data_offset")).alias("at"), "size")
-    files = df.select(F.col(key).alias("_k"), F.col(content).alias("_c"))
-    cut = rows.join(files, rows[key] == files["_k"]).withColumn("raw", F.expr("substring(_c, int(at) + 1, int(size))")).drop("_k", "_c", "at")
-    return cut.withColumn("b", simple_block(F.col("raw"))).select(key, "cluster_seq", "seq", "cluster_ts", "raw", "b.value.*", F.col("b.error").alias("error"))
+    fields = [f.split(":") for f in BLOCK.removeprefix("struct<").removesuffix(">").split(",")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    whole = StructType.fromDDL(f"cluster_seq int, seq int, cluster_ts decimal(20,0), raw binary, {', '.join(' '.join(f) for f in fields)}, error string")
+    types = [pa.int32(), pa.int32(), pa.decimal128(20, 0), pa.binary(), *(kinds[k] for _, k in fields), pa.string()]
+    schema = StructType([df.schema[key], *(f for f in whole if raw or f.name != "raw")])
+    blank = (None,) * len(fields)
+
+    def table_of(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*rows)
+        arrays = [pa.array(c, t) for c, t, f in zip(columns, types, whole) if raw or f.name != "raw"]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *arrays], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, held = batch.column(0), [], 0
+            for k, file in enumerate(batch.column(1)):
+                data = file.as_py()
+                for cluster, seq, stamp, at, size in attempt(ebml.blocks, data)[0] or ():
+                    cut = data[at : at + size]
+                    b, error = attempt(ebml.simple_block, cut)
+                    rows.append((k, cluster, seq, None if stamp is None else Decimal(stamp), cut if raw else None, *(b.values() if b else blank), error))
+                    held += size * raw
+                    if len(rows) >= BLOCK_ROWS or held >= BLOCK_MB << 20:
+                        yield table_of(keys, rows)
+                        rows, held = [], 0
+            if rows:
+                yield table_of(keys, rows)
+
+    return df.select(key, content).mapInArrow(run, schema)
 
 
 def tags(el: DataFrame, key: str) -> DataFrame:

@@ -260,16 +260,14 @@ def mkv_tags(spark: SparkSession, d: str) -> DataFrame:
     return M.tags(_elements(spark, d), "file_id").select("file_id", "target", "name", "text", F.hex("bin").alias("bin"))
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    f = X.mkv_files(spark, d)
-    el = f.select("file_id", F.explode(M.ebml_elements(F.col("content"))["value"]).alias("e")).select("file_id", "e.*")
-    return M.blocks(f, "file_id", "content", el)
+def _blocks(spark: SparkSession, d: str, raw: bool = True) -> DataFrame:
+    return M.blocks(X.mkv_files(spark, d), "file_id", "content", raw)
 
 
 def mkv_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of every file with their time in seconds."""
     seconds = (F.col("cluster_ts").cast("double") + F.col("ts_rel")) * 0.25
-    b = _blocks(spark, d)
+    b = _blocks(spark, d, raw=False)
     return b.groupBy("file_id", seconds.alias("seconds"), "track", "keyframe", "lacing").agg(F.count("*").alias("n"), F.sum("frame_size").alias("frame_bytes"))
 
 

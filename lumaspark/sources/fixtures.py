@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,48 +97,92 @@ def customer_jpegs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("custkey"), build("c_custkey", "c_name", "c_mktsegment", "c_nationkey").alias("content"))
 
 
-def _frame(event: dict) -> bytes:
-    body = struct.pack(">Q", event["event_id"]) + b"\0" * (event["event_id"] % 7)
-    units = [b"\x06" + b"\1" * 5, (b"\x65" if event["event_type"] == "purchase" else b"\x41") + body]
-    return b"".join(struct.pack(">L", len(u)) + u for u in units)
+#: Quarter seconds of an hour.
+HOUR = 14400
 
 
-def _mkv(file_id: int, day: int, slot: int, events: list[dict]) -> bytes:
+def _simple_blocks(q: np.ndarray, ids: np.ndarray, users: np.ndarray, keys: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A SimpleBlock per event, one after the other, and where each begins (with the end of all).
+
+    Its frame has an SEI unit and a slice of the event's id and up to six zeros, with lengths of four bytes.
+    """
+    rows, pad = np.zeros((len(q), 35), np.uint8), ids % 7
+    big = lambda values, kind: values.astype(kind)[:, None].view(np.uint8)
+    rows[:, 0], rows[:, 1], rows[:, 2] = 0xA3, 0x80 | 27 + pad, 0x80 | users % 3 + 1
+    rows[:, 3:5] = big(q % HOUR, ">i2")
+    rows[:, 5] = np.where(keys, 0x80, 0)
+    rows[:, 6:16] = np.frombuffer(struct.pack(">L", 6) + b"\x06" + b"\1" * 5, np.uint8)
+    rows[:, 19], rows[:, 20] = 9 + pad, np.where(keys, 0x65, 0x41)
+    rows[:, 21:29] = big(ids, ">u8")
+    size = 29 + pad
+    return rows[np.arange(35) < size[:, None]].tobytes(), np.concatenate([[0], np.cumsum(size)])
+
+
+def _mkv(day: int, slot: int, q: np.ndarray, ids: np.ndarray, users: np.ndarray, keys: np.ndarray) -> bytes:
+    """A file of events in the order of their quarter seconds ``q``."""
+    file_id = day * 50 + slot
     uid = lambda n: (1 << 63) + file_id * 10 + n
     track = lambda n, kind, codec, *more: element("TrackEntry", [element("TrackNumber", n), element("TrackUID", uid(n)), element("TrackType", kind), element("CodecID", codec), *more])
     video_size = element("Video", [element("PixelWidth", 640 + slot), element("PixelHeight", 480)])
     tracks = element("Tracks", [track(1, 1, "V_MPEG4/ISO/AVC", video_size, element("CodecPrivate", _avcc(slot, slot + 1))), track(2, 2, "A_OPUS", element("Language", "de"), element("FlagLacing", 0)), track(3, 17, "S_TEXT/UTF8")])
-    last = max(e["q"] for e in events)
-    head = element("Info", [element("TimestampScale", 250_000_000), element("MuxingApp", "lumaspark"), element("WritingApp", f"day {day}"), element("SegmentUuid", struct.pack(">QQ", day, slot)), element("Duration", float(last + 1))])
+    head = element("Info", [element("TimestampScale", 250_000_000), element("MuxingApp", "lumaspark"), element("WritingApp", f"day {day}"), element("SegmentUuid", struct.pack(">QQ", day, slot)), element("Duration", float(q[-1] + 1))])
     simple = lambda k, v: element("SimpleTag", [element("TagName", k), element("TagBinary" if isinstance(v, bytes) else "TagString", v)])
     tag = lambda targets, *items: element("Tag", [element("Targets", [element("TagTrackUID", u) for u in targets]), *items])
     tags = element("Tags", [
         tag([], simple("TITLE", "old"), simple("GONE", "x")),
-        tag([], simple("TITLE", f"Day {day}"), simple("COUNT", str(len(events)))),
+        tag([], simple("TITLE", f"Day {day}"), simple("COUNT", str(len(q)))),
         tag([uid(1)], simple("BPS", "1"), simple("KEEP", b"\1\2" * 12)),
         tag([uid(1)], simple("BPS", str(slot))),
     ])
-    clusters = []
-    for hour in sorted({e["q"] // 14400 for e in events}):
-        inside = [e for e in events if e["q"] // 14400 == hour]
-        rows = [element("SimpleBlock", bytes([0x80 | (e["user_id"] % 3 + 1)]) + struct.pack(">hB", e["q"] % 14400, 0x80 if e["event_type"] == "purchase" else 0) + _frame(e)) for e in inside]
-        clusters.append(element("Cluster", [element("Timestamp", hour * 14400), *rows]))
+    flat, ends = _simple_blocks(q, ids, users, keys)
+    cuts = [0, *(np.flatnonzero(np.diff(q // HOUR)) + 1), len(q)]
+    clusters = [element("Cluster", [element("Timestamp", int(q[i]) // HOUR * HOUR), flat[ends[i] : ends[j]]]) for i, j in pairwise(cuts)]
     seek = lambda name, at: element("Seek", [element("SeekId", {"Info": b"\x15\x49\xa9\x66", "Tracks": b"\x16\x54\xae\x6b"}[name]), element("SeekPosition", at)])
     seek_head = element("SeekHead", [seek("Info", 1000 + slot), seek("Tracks", 2000 + slot)])
     header = element("Ebml", [element("EbmlVersion", 1), element("EbmlReadVersion", 1), element("EbmlMaxIDLength", 4), element("EbmlMaxSizeLength", 8), element("DocType", "matroska"), element("DocTypeVersion", 4), element("DocTypeReadVersion", 2)])
     return header + element("Segment", [seek_head, element("Void", b"\0" * 30), head, tracks, tags, *clusters])
 
 
-def mkv_files(spark: SparkSession, d: str) -> DataFrame:
-    """(file_id, content): a Matroska file per day and slot of users, a cluster per hour, a block per event."""
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), (F.col("user_id") % 50).cast("int").alias("slot"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) % 86_400_000_000) / 250_000).cast("int").alias("q"))
-    cores = spark.sparkContext.defaultParallelism
-    files = e.groupBy("day", "slot").agg(F.array_sort(F.collect_list(F.struct("q", "event_id", "user_id", "event_type"))).alias("events")).repartition(cores)
+def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of the rows of each (day, slot) of sorted batches; those of one may lie in several batches."""
+    parts: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        day, slot = columns[:2]
+        cuts = [0, *(np.flatnonzero((np.diff(day) != 0) | (np.diff(slot) != 0)) + 1), len(day)]
+        for i, j in pairwise(cuts if len(day) else []):
+            if parts and (parts[0][0][0], parts[0][1][0]) != (day[i], slot[i]):
+                yield [np.concatenate(c) for c in zip(*parts)]
+                parts = []
+            parts.append([c[i:j] for c in columns])
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
+def _build_mkv(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    send = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(files, pa.binary())], names=["file_id", "content"])
+    ids, files = [], []
+    for day, slot, *events in _by_file(batches):
+        ids.append(int(day[0]) * 50 + int(slot[0]))
+        files.append(_mkv(int(day[0]), int(slot[0]), *events))
+        if sum(map(len, files)) > 1 << 20:
+            yield send()
+            ids, files = [], []
+    if ids:
+        yield send()
 
-    def build(days: pd.Series, slots: pd.Series, events: pd.Series) -> pd.Series:
-        return pd.Series([_mkv(int(a) * 50 + int(b), int(a), int(b), [dict(x) if isinstance(x, dict) else x.asDict() for x in rows]) for a, b, rows in zip(days, slots, events)], dtype="object")
 
-    return files.select((F.col("day") * 50 + F.col("slot")).cast("long").alias("file_id"), F.pandas_udf(build, "binary")("day", "slot", "events").alias("content"))
+def mkv_files(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, content): a Matroska file per day and slot of users, a cluster per hour, a block per event.
+
+    The events of a file are brought together and sorted by Spark and come as columns, so that none is
+    an object of its own; events without a time or a user have no file.
+    """
+    q = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) % 86_400_000_000) / 250_000).cast("int")
+    e = table(spark, d, "events").select(F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), (F.col("user_id") % 50).cast("int").alias("slot"), q.alias("q"), "event_id", "user_id", F.coalesce(F.col("event_type") == "purchase", F.lit(False)).alias("key"))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    e = e.where("day is not null and slot is not null").repartition(n, "day", "slot").sortWithinPartitions("day", "slot", "q", "event_id", "user_id", "key")
+    return e.mapInArrow(_build_mkv, "file_id long, content binary")
 
 
 def mp4_files(spark: SparkSession, d: str) -> DataFrame:
